@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from matchlake.llm import pii, secrets
 from matchlake.llm.quality import quality_rules
 from matchlake.llm.sharding import shard_by_bytes
 
@@ -20,8 +22,33 @@ def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def _listed(spans: str, base_only: bool = False):
+    """kind:start:end of the spans, comma-joined in their order."""
+    kept = F.filter(spans, lambda s: s["base"]) if base_only else F.col(spans)
+    return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _counted(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
+def op9_ownership_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"), owner="source")
+    return found.select("doc_id", *[_counted("spans", k) for k in secrets.BASE_KINDS], "base_sha256", _listed("spans").alias("spans"),
+                        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+                        F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"))
+
+
+def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), *[_counted("spans", k) for k in pii.BASE], F.sha2(_listed("spans", base_only=True), 256).alias("base_sha256"),
+                        _listed("spans").alias("spans"))
+
+
 QUERIES = {
     "op2_sampled_splitters": op2_sampled_splitters,
     "op7_distribution_divergence": op7_distribution_divergence,
+    "op9_ownership_frequency": op9_ownership_frequency,
+    "op10_candidate_boosting": op10_candidate_boosting,
 }
 ORACLES: dict[str, str] = {}
