@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm import pii, secrets
+from matchlake.llm.ngram_join import similar_sets
 from matchlake.llm.quality import quality_rules
 from matchlake.llm.sharding import shard_by_bytes
 
@@ -18,6 +19,10 @@ def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op3_set_relation_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sampled_splitters": op2_sampled_splitters,
+    "op3_set_relation_skipping": op3_set_relation_skipping,
     "op7_distribution_divergence": op7_distribution_divergence,
     "op9_ownership_frequency": op9_ownership_frequency,
     "op10_candidate_boosting": op10_candidate_boosting,
