@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import pii, secrets
+from matchlake.llm import pii, secrets, toxicity
+from matchlake.llm.extraction import extract_pages
 from matchlake.llm.ngram_join import similar_sets
+from matchlake.llm.packing import pack_documents
 from matchlake.llm.quality import quality_rules
 from matchlake.llm.sharding import shard_by_bytes
 
@@ -15,6 +17,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -23,6 +30,14 @@ def op3_set_relation_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op4_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op5_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k", capacity=1024)
+
+
 def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -51,8 +66,11 @@ def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nonnegative_pu": op1_nonnegative_pu,
     "op2_sampled_splitters": op2_sampled_splitters,
     "op3_set_relation_skipping": op3_set_relation_skipping,
+    "op4_minimum_cut": op4_minimum_cut,
+    "op5_grouping_genetic": op5_grouping_genetic,
     "op7_distribution_divergence": op7_distribution_divergence,
     "op9_ownership_frequency": op9_ownership_frequency,
     "op10_candidate_boosting": op10_candidate_boosting,
