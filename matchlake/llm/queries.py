@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchlake.llm import pii, secrets, toxicity
 from matchlake.llm.extraction import extract_pages
+from matchlake.llm.language_model import language_scores
 from matchlake.llm.ngram_join import similar_sets
 from matchlake.llm.packing import pack_documents
 from matchlake.llm.quality import quality_rules
@@ -52,6 +53,10 @@ def _counted(spans: str, kind: str):
     return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
 
+def op8_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_ownership_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents"), owner="source")
     return found.select("doc_id", *[_counted("spans", k) for k in secrets.BASE_KINDS], "base_sha256", _listed("spans").alias("spans"),
@@ -72,6 +77,7 @@ QUERIES = {
     "op4_minimum_cut": op4_minimum_cut,
     "op5_grouping_genetic": op5_grouping_genetic,
     "op7_distribution_divergence": op7_distribution_divergence,
+    "op8_hierarchical_pitman_yor": op8_hierarchical_pitman_yor,
     "op9_ownership_frequency": op9_ownership_frequency,
     "op10_candidate_boosting": op10_candidate_boosting,
 }
