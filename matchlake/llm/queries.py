@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm import pii, secrets, toxicity
+from matchlake.llm.decontamination import find_leaks
 from matchlake.llm.extraction import extract_pages
 from matchlake.llm.language_model import language_scores
 from matchlake.llm.ngram_join import similar_sets
@@ -39,6 +40,11 @@ def op5_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k", capacity=1024)
 
 
+def op6_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), F.round("similarity", 6).alias("similarity"), "start", "length")
+
+
 def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op3_set_relation_skipping": op3_set_relation_skipping,
     "op4_minimum_cut": op4_minimum_cut,
     "op5_grouping_genetic": op5_grouping_genetic,
+    "op6_simhash_windows": op6_simhash_windows,
     "op7_distribution_divergence": op7_distribution_divergence,
     "op8_hierarchical_pitman_yor": op8_hierarchical_pitman_yor,
     "op9_ownership_frequency": op9_ownership_frequency,
