@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from matchlake.plans import episodes, presence, relations, statistics, streams, timelines  # noqa: F401  (they register)
+from matchlake.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
