@@ -52,11 +52,11 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
     Words are lower-cased; start counts words. A shingle of k items weighs 1 / k, one of no item weighs 1.
 
-    - null and empty texts and items leak nothing. Items of fewer than five words are one shingle.
+    - null and empty texts, and items of null id or no words, leak nothing. Items of fewer than five words are one shingle.
     - rows equal in key and text count once; ties go to the earliest window. Empty tables give an empty result.
     - other columns are ignored.
     """
-    items = benchmark.select(F.col(item).alias("item"), words_of(F.lower(F.col(item_text))).alias("words")).where(F.size("words") > 0)
+    items = benchmark.select(F.col(item).alias("item"), words_of(F.lower(F.col(item_text))).alias("words")).where((F.size("words") > 0) & F.col("item").isNotNull())
     items = items.dropDuplicates().withColumn("hashes", F.expr(_shingles("words"))).withColumn("length", F.size("words"))
     items = written(items, "leak-words")
     of_items = items.select("item", "length", F.posexplode("hashes").alias("at", "h"))
@@ -83,7 +83,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
     # The words of the windows' texts, then the fingerprint of each window.
     spots = windows.groupBy("key", "text_hash").agg(F.collect_list(F.struct("length", "start")).alias("spots"))
-    looked = (docs.join(_few(spots, n_windows), ["key", "text_hash"]).dropDuplicates(["key", "text_hash"])
+    spots = spots.withColumnsRenamed({"key": "its_key", "text_hash": "its_hash"})
+    looked = (docs.join(_few(spots, n_windows), F.col("key").eqNullSafe(F.col("its_key")) & (F.col("text_hash") == F.col("its_hash"))).dropDuplicates(["key", "text_hash"])
               .select("key", "text_hash", words_of(F.lower("text")).alias("all"), "spots")
               .select("key", "text_hash", F.explode(F.expr("transform(spots, s -> struct(s.length, s.start, slice(all, s.start + 1, s.length) AS words))")).alias("w"))
               .select("key", "text_hash", "w.*"))

@@ -25,7 +25,7 @@ from matchlake.llm.common import written
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words rarer than this share of all words count as rare; at most its inverse can be frequent, which bounds the broadcast.
 RARE = 4e-6
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 CHUNK = 2048  # sets of a list that one group holds
 BLOCK = 128
 BROADCAST_IDS = 1_000_000
@@ -92,7 +92,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = words_of(text)
             total += len(words)
             seen.update(words)
-        if len(seen) > 3 * CACHED_WORDS:  # a word this rare so far cannot reach the share by its count so far
+        if len(seen) > 2 * CACHED_WORDS:  # a word this rare so far cannot reach the share by its count so far
             seen = Counter({w: c for w, c in seen.items() if c > total * RARE / 8})
     rows = [(xxhash.xxh3_64_intdigest(w) & ~15, c) for w, c in seen.items() if c >= total * RARE / 2]
     yield pd.DataFrame({"word": np.array([r[0] for r in rows], np.uint64).view(np.int64), "n": np.array([r[1] for r in rows], np.int64)}).assign(rest=False)
@@ -108,31 +108,33 @@ def frequency_classes(df: DataFrame) -> dict[int, int]:
     return dict(zip(frequent["word"].to_numpy().view(np.uint64).tolist(), classes.tolist(), strict=True))
 
 
-def _index_rows(size: int, num: int, den: int, shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _index(size: int, num: int, den: int, shared):
+    """Set size, 128-bit identity, prefix in the global order (rarest first) and sketch of each text."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = _Words(shared.value)
-        for batch in batches:
+        for texts in batches:
             out = []
-            for key, text in zip(batch["key"], batch["text"], strict=True):
+            for text in texts:
                 h, rank = shingles(words_of(text), size, hashes)
                 n = len(h)
                 if not n:
-                    out.append((key, 0, 0, 0, [], b""))
+                    out.append((0, 0, 0, [], b""))
                     continue
                 prefix = n - (num * n + den - 1) // den + 1
                 order = np.lexsort((h, rank))[:prefix]
                 sign = xxhash.xxh3_128_digest(h.tobytes())
-                out.append((key, n, int.from_bytes(sign[:8], "big", signed=True), int.from_bytes(sign[8:], "big", signed=True), h[order].view(np.int64), _sketch(h)))
-            yield pd.DataFrame(out, columns=["key", "n", "hi", "lo", "prefix", "sketch"])
-    return run
+                out.append((n, int.from_bytes(sign[:8], "big", signed=True), int.from_bytes(sign[8:], "big", signed=True), h[order].view(np.int64), _sketch(h)))
+            yield pd.DataFrame(out, columns=["n", "hi", "lo", "prefix", "sketch"])
+    return F.pandas_udf(run, "n int, hi long, lo long, prefix array<long>, sketch binary")
 
 
-def _set_rows(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(size: int):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes = _Words()
-        for batch in batches:
-            yield pd.DataFrame([(k, shingles(words_of(t), size, hashes)[0].view(np.int64)) for k, t in zip(batch["key"], batch["text"], strict=True)], columns=["key", "items"])
-    return run
+        for texts in batches:
+            yield pd.Series([shingles(words_of(t), size, hashes)[0].view(np.int64) for t in texts])
+    return F.pandas_udf(run, "array<long>")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -272,7 +274,7 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
     Two rows link when 100 * intersection >= percent * union of their sets of distinct shingles of `size` words.
 
     - fewer words than size: the whole sequence is the one shingle. No words, empty or null text: n_shingles 0, linked
-      with nothing. Keys are whole numbers and not null.
+      with nothing. Keys are whole numbers; a row of null key links only through a row of equal set.
     - repeated rows get equal results; rows that share a key count as one document. Ties cannot occur: labels are minima.
     - an empty table gives an empty result; other columns are ignored.
     """
@@ -280,10 +282,10 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
     num, den = percent, 100
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     shared = spark.sparkContext.broadcast(frequency_classes(docs.select("text")))
-    rows = written(docs.mapInPandas(_index_rows(size, num, den, shared), "key long, n int, hi long, lo long, prefix array<long>, sketch binary"), "join-rows")
+    rows = written(docs.select("key", _index(size, num, den, shared)(F.col("text")).alias("r")).select("key", "r.*"), "join-rows")
 
     # Equal sets are one class, whose smallest key stands for it; combined before the shuffle, so hot copies are few rows.
-    classes = written(rows.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("key").alias("rep"), F.min_by(F.struct("prefix", "sketch"), "key").alias("own"))
+    classes = written(rows.where("n > 0 AND key IS NOT NULL").groupBy("n", "hi", "lo").agg(F.min("key").alias("rep"), F.min_by(F.struct("prefix", "sketch"), "key").alias("own"))
                       .select("rep", "n", "hi", "lo", "own.prefix", "own.sketch"), "join-classes")
 
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -308,7 +310,7 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
         """The pairs that link, by their whole sets."""
         ids = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
         few = ids.count() <= BROADCAST_IDS
-        sets = written(docs.join(F.broadcast(ids) if few else ids, "key", "left_semi").mapInPandas(_set_rows(size), "key long, items array<long>").dropDuplicates(["key"]), "join-sets")
+        sets = written(docs.join(F.broadcast(ids) if few else ids, "key", "left_semi").dropDuplicates(["key"]).select("key", _sets(size)(F.col("text")).alias("items")), "join-sets")
         joined = (pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
                   .join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b"))
         common = F.size(F.array_intersect("x", "y"))

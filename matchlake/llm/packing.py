@@ -13,12 +13,10 @@ import base64
 import random
 import re
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,27 +79,23 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head)] + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def _piece_rows(name: str, capacity: int, keep_ids: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _piece_lists(name: str, capacity: int, keep_ids: bool):
+    def run(texts: pd.Series) -> pd.Series:
         encode, end = encoder(name), np.array([END_ID], "<u4").tobytes()
-        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        for batch in batches:
-            out = []
-            for key, text in zip(batch["key"], batch["text"], strict=True):
-                ids = encode(text or "") + end
-                for nth, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    part = ids[4 * start:4 * (start + length)]
-                    out.append((row, key, nth, start, length, zlib.crc32(part), *([part] if keep_ids else [])))
-                    row += 1
-            yield pd.DataFrame(out, columns=["row", "key", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
+        out = []
+        for text in texts:
+            ids = encode(text or "") + end
+            out.append([{"start": start, "length": length, "ids_crc32": zlib.crc32(part := ids[4 * start:4 * (start + length)]), **({"ids": part} if keep_ids else {})}
+                        for start, length in cut(len(ids) // 4, capacity)])
+        return pd.Series(out)
     return run
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
     """row, key, piece, start, length, ids_crc32 (and ids) of every piece of every document; null texts are empty."""
-    named = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"row long, key {dict(named.dtypes)['key']}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return named.mapInPandas(_piece_rows(tokenizer, capacity, keep_ids), schema)
+    kind = "array<struct<start:long,length:long,ids_crc32:long" + ",ids:binary" * keep_ids + ">>"
+    listed = df.select(F.col(key).alias("key"), F.pandas_udf(_piece_lists(tokenizer, capacity, keep_ids), kind)(F.col(text)).alias("parts"))
+    return listed.select("key", F.posexplode_outer("parts").alias("piece", "p")).select(F.monotonically_increasing_id().alias("row"), "key", "piece", "p.*")
 
 
 class _Bins:

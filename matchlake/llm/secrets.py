@@ -11,10 +11,8 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,21 +68,15 @@ def digest(spans: list[str]) -> str:
     return hashlib.sha256(",".join(spans).encode()).hexdigest()
 
 
-_SPAN = "array<struct<start:long,rank:int,kind:string,end:long,value:long>>"
-
-
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-    for batch in batches:
-        out = []
-        for key, owner, text in zip(batch["key"], batch["owner"], batch["text"], strict=True):
-            text = text or ""
-            base = base_matches(text)
-            listed = [{"start": s, "rank": KINDS.index(k), "kind": k, "end": e, "value": int.from_bytes(hashlib.sha256(v.encode()).digest()[:8], "big", signed=True)}
-                      for k, s, e, v in base + wide_matches(text, base)]
-            out.append((row, key, owner, listed, digest([f"{k}:{s}:{e}" for k, s, e, _ in base])))
-            row += 1
-        yield pd.DataFrame(out, columns=["row", "key", "owner", "spans", "base_sha256"])
+def _extract(texts: pd.Series) -> pd.DataFrame:
+    out = []
+    for text in texts:
+        text = text or ""
+        base = base_matches(text)
+        listed = [{"start": s, "rank": KINDS.index(k), "kind": k, "end": e, "value": int.from_bytes(hashlib.sha256(v.encode("utf-8", "replace")).digest()[:8], "big", signed=True)}
+                  for k, s, e, v in base + wide_matches(text, base)]
+        out.append((listed, digest([f"{k}:{s}:{e}" for k, s, e, _ in base])))
+    return pd.DataFrame(out, columns=["spans", "base_sha256"])
 
 
 def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, max_owners: int = 1) -> DataFrame:
@@ -95,14 +87,12 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner:
     - wider candidates held by more than max_owners owners are left out; base spans always stay, marked live or not.
     - an empty table gives an empty result; other columns are ignored.
     """
-    named = df.select(F.col(key).alias("key"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.col(text).alias("text"))
-    if repository:
-        named = df.select(F.col(key).alias("key"), F.to_json(F.struct(F.col(owner).cast("string"), F.col(repository).cast("string"))).alias("owner"), F.col(text).alias("text"))
-    kind = dict(named.dtypes)["key"]
-    rows = written(named.mapInPandas(_extract, f"row long, key {kind}, owner string, spans {_SPAN}, base_sha256 string"), "secret-candidates")
-    repo = F.get_json_object("owner", "$.col2") if repository else F.col("key").cast("string")
-    held = F.get_json_object("owner", "$.col1") if repository else F.col("owner")
-    each = rows.where(F.size("spans") > 0).select("row", F.coalesce(held, F.lit("")).alias("owner"), F.coalesce(repo, F.lit("")).alias("repo"), F.explode("spans").alias("span"))
+    holder = F.coalesce(F.col(owner).cast("string"), F.lit(""))
+    place = F.coalesce(F.col(repository or key).cast("string"), F.lit(""))
+    extract = F.pandas_udf(_extract, "spans array<struct<start:long,rank:int,kind:string,end:long,value:long>>, base_sha256 string")
+    found = df.select(F.col(key).alias("key"), holder.alias("owner"), place.alias("repo"), extract(F.col(text)).alias("found"))
+    rows = written(found.select(F.monotonically_increasing_id().alias("row"), "key", "owner", "repo", "found.*"), "secret-candidates")
+    each = rows.where(F.size("spans") > 0).select("row", "owner", "repo", F.explode("spans").alias("span"))
     # By (value, owner, repository), then (value, owner), then value: each step combines before it shuffles.
     owned = (each.select(F.col("span.value").alias("value"), "owner", "repo").distinct()
              .groupBy("value", "owner").agg(F.count("*").alias("n"))

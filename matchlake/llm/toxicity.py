@@ -152,27 +152,26 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return Model(dict(zip(best, weights.tolist(), strict=True)), bias, scale, shift)
 
 
-def _score_rows(shared, columns: list[str], text: str, threshold: float | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for batch in batches:
-            scores = sigmoid(np.array([model.logit(text_features(t)) for t in batch[text]], np.float64))
-            yield batch[columns].assign(score=scores) if threshold is None else batch[scores < threshold]
-    return run
+def _scorer(docs: DataFrame, model: Model):
+    """Score of a text column; only the text goes through Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(sigmoid(np.array([shared.value.logit(text_features(t)) for t in texts], np.float64)))
+
+    return F.pandas_udf(run, "double").asNondeterministic()
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", folds: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:
     """key, held_out, score (0 to 1) and predicted of every row, from the whole text alone.
 
-    Null and empty texts hold no feature and score by the bias. Repeated rows get equal scores. Other columns are ignored.
+    Null and empty texts hold no feature and score by the bias; a null key is in the fold of the text ''. Repeated rows
+    get equal scores. Other columns are ignored.
     """
-    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = named.mapInPandas(_score_rows(shared, ["key"], "text", None), f"key {dict(named.dtypes)['key']}, score double")
-    return scored.select(F.col("key").alias(key), in_fold(F.col("key"), folds, held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = docs.select(F.col(key), _scorer(docs, model)(F.col(text)).alias("score"))
+    return scored.select(key, in_fold(F.col(key), folds, held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of docs, all columns as they are, whose score is below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInPandas(_score_rows(shared, list(docs.columns), text, threshold), docs.schema)
+    return docs.where(_scorer(docs, model)(F.col(text)) < threshold)
