@@ -10,6 +10,7 @@ from matchlake.llm.decontamination import find_leaks
 from matchlake.llm.extraction import extract_pages
 from matchlake.llm.language_model import language_scores
 from matchlake.llm.ngram_join import similar_sets
+from matchlake.llm.oracles import ORACLES
 from matchlake.llm.packing import pack_documents
 from matchlake.llm.quality import quality_rules
 from matchlake.llm.sharding import shard_by_bytes
@@ -46,7 +47,8 @@ def op6_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_table(spark, sf_dir, "documents"))
+    found = quality_rules(_table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def _listed(spans: str, base_only: bool = False):
@@ -88,4 +90,5 @@ QUERIES = {
     "op9_ownership_frequency": op9_ownership_frequency,
     "op10_candidate_boosting": op10_candidate_boosting,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
