@@ -139,3 +139,131 @@ def visible(x: float, y: float, blocked: np.ndarray) -> np.ndarray:
         for j in range(n):
             out[i, j] = not any(blocked[c] for c in ray_cells(x, y, (i + 0.5) / n, (j + 0.5) / n, n)[:-1])
     return out
+
+
+def settled_labels(labels: list[str], step: float, flicker: float = 1.5, ambiguous: str = "amb", never: tuple[str, ...] = ("dead",), widest: float = 1.5) -> list[str]:
+    """Labels at even steps without flicker.
+
+    A run shorter than `flicker` between two equal labels takes theirs; a short ambiguous run between two different,
+    known ones is shared half and half. The leftmost such run is settled first, until none is left.
+    """
+    runs: list[list] = []
+    for x in labels:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    at = 1
+    while at < len(runs) - 1:
+        (before, _), (label, n), (after, _) = runs[at - 1:at + 2]
+        if n * step < flicker and before == after:
+            runs[at - 1:at + 2] = [[before, runs[at - 1][1] + n + runs[at + 1][1]]]
+            at = max(1, at - 2)
+        elif n * step < flicker and label == ambiguous and n * step <= widest and ambiguous not in (before, after) and not {before, after} & set(never):
+            runs[at - 1][1] += n // 2
+            runs[at + 1][1] += n - n // 2
+            del runs[at]
+            at = max(1, at - 2)
+        else:
+            at += 1
+    return [x for x, n in runs for _ in range(n)]
+
+
+def level_spans(t0: float, t1: float, times: list[float], outside: list[float], sure: list[bool], rides: list[tuple[float, str]], margin: float = 0.02, leave: float = 0.5, up: str = "etage", down: str = "dessous") -> list[tuple[float, float, str, str]]:
+    """Contiguous (t0, t1, level, source) of one life: down at first, as rides say, and down again after `leave` seconds
+    farther than `margin` outside the upper floor; rows that are not sure say nothing about that."""
+    changes = [(t, to, "tp") for t, to in rides if t0 <= t <= t1]
+    events = sorted([(t, 0, i) for i, (t, _, _) in enumerate(changes)] + [(t, 1, i) for i, t in enumerate(times)])
+    spans: list[tuple[float, float, str, str]] = []
+    start, level, source, since = t0, down, "default", None
+
+    def go(t: float, to: str, why: str) -> None:
+        nonlocal start, level, source, since
+        since = None
+        if to != level:
+            if t > start:
+                spans.append((start, t, level, source))
+                start = t
+            level, source = to, why
+
+    for t, kind, i in events:
+        if kind == 0:
+            go(t, changes[i][1], changes[i][2])
+        elif level == up and sure[i]:
+            since = None if outside[i] <= margin else t if since is None else since
+            if since is not None and t - since >= leave:
+                go(since, down, "zone")
+    return [*spans, (start, t1, level, source)]
+
+
+def tracked_boxes(rows: pd.DataFrame, near: float = 0.03, gap: float = 4.0, least: float = 20.0, cadence: float = 1.0) -> pd.DataFrame:
+    """Boxes that stay in one place: t0, t1, x, y (medians), n; gaps of at most `gap` and lives of at least `least` seconds.
+
+    A box joins the oldest open track whose first place is within `near` on both axes.
+    """
+    tracks: list[dict] = []
+    for t, x, y in rows.sort_values(["t", "x", "y"], kind="stable")[["t", "x", "y"]].itertuples(index=False):
+        own = next((k for k in tracks if abs(k["x"] - x) <= near and abs(k["y"] - y) <= near and t - k["t1"] <= gap + cadence), None)
+        if own is None:
+            own = {"t0": t, "x": x, "y": y, "xs": [], "ys": []}
+            tracks.append(own)
+        own["t1"] = t
+        own["xs"].append(x)
+        own["ys"].append(y)
+    long = [(k["t0"], k["t1"], float(np.median(k["xs"])), float(np.median(k["ys"])), len(k["xs"])) for k in tracks if k["t1"] - k["t0"] + cadence >= least]
+    return pd.DataFrame(sorted(long), columns=["t0", "t1", "x", "y", "n"])
+
+
+def recoveries(rows: pd.DataFrame, window: float = 0.4, drop: float = 0.07, gap: float = 2.0, flat: float = 0.02, rise: float = 0.05, longest: float = 12.0) -> pd.DataFrame:
+    """Damage episodes of one slot with when hit points start to rise again: t_loss, plateau, t_start, why.
+
+    A hit is a value at least `drop` below the highest of the `window` before; hits at most `gap` apart are one episode.
+    The rise starts at the end of the flat stretch before the first value `rise` above the lowest since. why is ok, gap
+    (unreadable first), hit (another episode first) or none.
+    """
+    rows = rows.sort_values("t", kind="stable")
+    t, hp = rows["t"].to_numpy(float), rows["hp"].to_numpy(float)
+    hits = [i for i in range(len(t)) if not np.isnan(hp[i]) and np.nanmax(hp[np.searchsorted(t, t[i] - window - 1e-9):i + 1]) - hp[i] >= drop - 1e-12]
+    ends = [i for i, nxt in zip(hits, [*hits[1:], None], strict=True) if nxt is None or t[nxt] - t[i] > gap]
+    firsts = [i for i, before in zip(hits, [None, *hits[:-1]], strict=True) if before is None or t[i] - t[before] > gap]
+    found = []
+    for n, last in enumerate(ends):
+        stop = firsts[n + 1] if n + 1 < len(firsts) else len(t)
+        low, at, why = hp[last], last, "hit" if stop < len(t) else "none"
+        for j in range(last + 1, stop):
+            if t[j] - t[last] > longest:
+                why = "none"
+                break
+            if np.isnan(hp[j]):
+                why = "gap"
+                break
+            low = min(low, hp[j])
+            if hp[j] >= low + rise:
+                why = "ok"
+                break
+            if hp[j] <= low + flat:
+                at = j
+        found.append((t[last], low, t[at] if why == "ok" else np.nan, why))
+    return pd.DataFrame(found, columns=["t_loss", "plateau", "t_start", "why"])
+
+
+def decimated(points: pd.DataFrame, least: float, scale: tuple[float, float] = (31.0, 16.5)) -> pd.DataFrame:
+    """Points of a path at least `least` metres from the last one kept; the first and last stay."""
+    points = points.sort_values("t", kind="stable")
+    keep, last = [], None
+    xy = points[["x", "y"]].to_numpy(float)
+    for i, (x, y) in enumerate(xy):
+        far = last is None or np.hypot((x - last[0]) * scale[0], (y - last[1]) * scale[1]) >= least
+        keep.append(bool(far or i == len(xy) - 1))
+        last = (x, y) if keep[-1] else last
+    return points[keep]
+
+
+def best_assignment(costs: np.ndarray, margin: float = 0.1) -> list[int] | None:
+    """Column of each row at the least total cost; None if another assignment is less than `margin` worse. At most 4 x 4."""
+    from itertools import permutations
+
+    totals = sorted((sum(costs[i, j] for i, j in enumerate(p)), p) for p in permutations(range(costs.shape[1]), costs.shape[0]))
+    if not totals or (len(totals) > 1 and totals[1][0] - totals[0][0] < margin):
+        return None
+    return list(totals[0][1])
