@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -53,14 +54,24 @@ def base_matches(text: str) -> list[tuple[str, int, int, str]]:
 def wide_matches(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
     """Wider candidates that overlap no base span and no earlier candidate."""
     found: list[tuple[str, int, int, str]] = []
-    taken = [(s, e) for _, s, e, _ in base]
+    # disjoint, ascending stretches that are taken; base spans of different kinds may overlap each other
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, s, e, _ in base:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for kind, pattern in _WIDE.items():
         for m in pattern.finditer(text):
             value = m[m.lastindex or 0]
             mixed = kind == "pem" or (any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and entropy(value) >= MIN_BITS)
-            if mixed and all(m.end() <= s or m.start() >= e for s, e in taken):
+            at = bisect_right(ends, m.start())
+            if mixed and (at == len(starts) or m.end() <= starts[at]):
                 found.append((kind, *m.span(), value))
-                taken.append(m.span())
+                starts.insert(at, m.start())
+                ends.insert(at, m.end())
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
