@@ -296,8 +296,8 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
     members = (postings.join(lists, "token").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
                .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-               # lists of one group meet in one task, which then proposes fewer edges; long lists are spread over more
-               .withColumn("salt", F.pmod(F.xxhash64("token"), F.ceil(F.col("k") / F.lit(256))))
+               # lists of one group meet in few tasks, which then propose fewer edges; longer lists are spread over more
+               .withColumn("salt", F.pmod(F.xxhash64("token"), F.when(F.col("k") <= 2, F.lit(1)).otherwise(F.lit(8) + F.ceil(F.col("k") / F.lit(256)))))
                .select("token", "least", "salt", "i", "j", "chunk", "pos", "rep", "n"))
     members = written(members.join(classes.select("rep", "sketch"), "rep"), "join-lists")
 
