@@ -86,14 +86,15 @@ def _sketch(h: np.ndarray) -> bytes:
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words that hold at least half the rare share of a task's words, and the number of all its words under null."""
     seen: Counter = Counter()
-    total = 0
+    total, most = 0, 2 * CACHED_WORDS
     for batch in batches:
         for text in batch["text"]:
             words = words_of(text)
             total += len(words)
             seen.update(words)
-        if len(seen) > 2 * CACHED_WORDS:  # a word this rare so far cannot reach the share by its count so far
-            seen = Counter({w: c for w, c in seen.items() if c > total * RARE / 8})
+            if len(seen) > most:  # a word this rare so far cannot reach the share by its count so far
+                seen = Counter({w: c for w, c in seen.items() if c > total * RARE / 8})
+                most = max(2 * CACHED_WORDS, 2 * len(seen))
     rows = [(xxhash.xxh3_64_intdigest(w) & ~15, c) for w, c in seen.items() if c >= total * RARE / 2]
     yield pd.DataFrame({"word": np.array([r[0] for r in rows], np.uint64).view(np.int64), "n": np.array([r[1] for r in rows], np.int64)}).assign(rest=False)
     yield pd.DataFrame({"word": [0], "n": [total], "rest": [True]})

@@ -22,6 +22,7 @@ from matchlake.llm.common import in_fold, written
 _WORD = re.compile(r"[^\W\d_]+")
 #: A feature is a whole word, or the first 4, 5 or 6 letters of a longer one, marked by the number of letters.
 PREFIXES = (4, 5, 6)
+HELD_FEATURES = 200_000
 
 
 def text_features(text: str | None) -> set[str]:
@@ -87,17 +88,22 @@ def _platt(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def _sample_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How many positive and how many unlabelled texts of the sample hold each feature."""
+    """How many positive and how many unlabelled texts of the sample hold each feature, handed on before they grow large."""
+    pos, rest = Counter(), Counter()
+
+    def out() -> pd.DataFrame:
+        rows = [(f, pos.get(f, 0), rest.get(f, 0)) for f in pos.keys() | rest.keys()]
+        pos.clear()
+        rest.clear()
+        return pd.DataFrame(rows, columns=["feature", "p", "u"])
+
     for batch in batches:
-        pos, rest = Counter(), Counter()
         for role, text in zip(batch["role"], batch["text"], strict=True):
-            if role == 1:
-                pos.update(text_features(text))
-            elif role == 2:
-                rest.update(text_features(text))
-        out = [(f, c, rest.get(f, 0)) for f, c in pos.items() if c > 0]
-        out += [(f, 0, c) for f, c in rest.items() if f not in pos]
-        yield pd.DataFrame(out, columns=["feature", "p", "u"])
+            if role in (1, 2):
+                (pos if role == 1 else rest).update(text_features(text))
+            if len(pos) + len(rest) > HELD_FEATURES:
+                yield out()
+    yield out()
 
 
 def _picked(features: list[str]):
