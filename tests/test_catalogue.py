@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from matchlake.plans.catalogue import ORACLES, QUERIES
@@ -12,7 +13,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def plain(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return None
     if isinstance(value, bool):
         return value
