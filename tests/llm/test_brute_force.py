@@ -263,6 +263,47 @@ def test_leaks_match_all_windows(spark):
     assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted) and len(wanted) > 10
 
 
+def leaks_by_hand(rows, items):
+    """(document, item) -> the best similarity of 0.8 or more over all windows."""
+    of = collections.Counter()
+    sets = {}
+    for i, t in items:
+        w = t.lower().split()
+        sets[i] = (len(w), {tuple(w[k:k + 5]) for k in range(len(w) - 4)})
+        of.update(sets[i][1])
+    wanted = {}
+    for d, t in rows:
+        w = t.lower().split()
+        for i, (n, own) in sets.items():
+            for s in range(len(w) - n + 1):
+                x = {tuple(w[k:k + 5]) for k in range(s, min(s + n, len(w)) - 4)}
+                j = sum(1 / of[h] for h in x & own) / (sum(1 / of[h] for h in own) + len(x - own))
+                if j >= 0.8:
+                    wanted[(d, i)] = max(wanted.get((d, i), 0), j)
+    return wanted
+
+
+def leaks_found(spark, rows, items):
+    found = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r["key"], r["item"]): r["similarity"] for r in found.collect()}
+
+
+def test_leaks_with_clipped_edges_are_found(spark):
+    rng = random.Random(66)
+    items = [(i, " ".join(f"b{rng.randrange(900)}" for _ in range(rng.randrange(42, 60)))) for i in range(40)]
+    every = [w for _, t in items for w in t.split()]
+    rows = []
+    for first, last in ((0, 4), (2, 2), (2, 3), (0, 5), (5, 0)):
+        for _, t in items:
+            w = t.split()
+            w[:first] = rng.choices(every, k=first)
+            w[len(w) - last:] = rng.choices(every, k=last)
+            rows.append((len(rows), " ".join([*rng.choices(every, k=9), *w, *rng.choices(every, k=9)])))
+    found, wanted = leaks_found(spark, rows, items), leaks_by_hand(rows, items)
+    assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted)
+    assert sum(j < 0.83 for j in wanted.values()) > 20
+
+
 # --- 7 quality
 
 
