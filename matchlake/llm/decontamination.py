@@ -1,10 +1,10 @@
 """Benchmark decontamination by SimHash windows, in DataFrame operations only.
 
-A text is looked at through windows as long as a benchmark item. A window can reach the wanted similarity only if it
-shares a shingle with an item, so windows are laid where one does, aligned as in the item. Windows and items get SimHash
-fingerprints of their shingles. The similarity bounds how many shingles can differ, and so which bits of an item's
-fingerprint can: all others, its firm bits, must be equal, which drops no window that reaches the similarity. An exact
-weighted-shingle similarity decides.
+A text is looked at through windows as long as a benchmark item; a shorter text is one window. A window can reach the
+wanted similarity only if it shares a shingle with an item, so windows are laid where one does, aligned as in the item.
+Windows and items get SimHash fingerprints of their shingles. The similarity bounds how many shingles can differ, and so
+which bits of an item's fingerprint can: all others, its firm bits, must be equal, which drops no window that reaches
+the similarity. An exact weighted-shingle similarity decides.
 """
 
 from __future__ import annotations
@@ -90,8 +90,9 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     anchors = runs[0]
     for r in runs[1:]:
         anchors = anchors.unionByName(r)
-    windows = (anchors.join(_few(places, n_places), "h").where("n >= length")
-               .select("key", "text_hash", "length", F.least(F.greatest(F.col("pos") - F.col("at"), F.lit(0)), F.col("n") - F.col("length")).alias("start"), F.struct("item", F.col("length").alias("item_length")).alias("of"))
+    # A text shorter than the item is one window.
+    windows = (anchors.join(_few(places, n_places), "h").withColumn("item_length", F.col("length")).withColumn("length", F.least("n", "item_length"))
+               .select("key", "text_hash", "length", F.least(F.greatest(F.col("pos") - F.col("at"), F.lit(0)), F.col("n") - F.col("length")).alias("start"), F.struct("item", "item_length").alias("of"))
                .groupBy("key", "text_hash", "length", "start").agg(F.collect_set("of").alias("of")))
     windows = written(windows, "leak-windows")
     n_windows = windows.count()

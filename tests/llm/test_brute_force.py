@@ -275,7 +275,7 @@ def leaks_by_hand(rows, items):
     for d, t in rows:
         w = t.lower().split()
         for i, (n, own) in sets.items():
-            for s in range(len(w) - n + 1):
+            for s in range(max(len(w) - n, 0) + 1):  # a text shorter than the item is one window
                 x = {tuple(w[k:k + 5]) for k in range(s, min(s + n, len(w)) - 4)}
                 j = sum(1 / of[h] for h in x & own) / (sum(1 / of[h] for h in own) + len(x - own))
                 if j >= 0.8:
@@ -304,6 +304,14 @@ def test_leaks_with_clipped_edges_are_found(spark):
     assert sum(j < 0.83 for j in wanted.values()) > 20
 
 
+def test_leaks_of_texts_shorter_than_the_item_are_found(spark):
+    rng = random.Random(67)
+    items = [(i, " ".join(f"b{rng.randrange(900)}" for _ in range(rng.choice([6, 20, 45, 59])))) for i in range(40)]
+    rows = [(100 * i + cut, " ".join(t.split()[cut * side:len(t.split()) - cut * (1 - side)])) for i, t in items for cut in (1, 4, 9, 13) for side in [i % 2] if cut < len(t.split())]
+    found, wanted = leaks_found(spark, rows, items), leaks_by_hand(rows, items)
+    assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted) and len(wanted) > 40
+
+
 # --- 7 quality
 
 
