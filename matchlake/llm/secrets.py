@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Patterns propose spans. The hash of each proposed value is counted over the whole corpus by distinct owners and distinct
-repositories: a value that several owners hold is a copied example, a value of one owner looks live. Spans of the base
-patterns always stay; the wider candidates become spans only where their value looks live.
+repositories: a value that several owners hold, or one owner in many repositories, is a copied example; a value of one
+owner in a few repositories looks live. Spans of the base patterns always stay; the wider candidates become spans only
+where their value looks live.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ _WIDE = {
     "vendor": re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{16,}|sk[_-](?:live|test|ant)?[_-]?[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,})"),
     "signed": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
     "pem": re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    "word": re.compile(r"(?ai:bearer|auth|credential|private_?key|access_?key|client_?id|pwd|signature)[\"']?\x20*[:=]?\x20*[\"']?([A-Za-z0-9+/_.=-]{16,})"),
-    "mixed": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{24,}"),
+    "word": re.compile(r"(?ai:bearer|auth|credential|private_?key|access_?key|client_?id|pwd|signature)[\"']?+\x20*+[:=]?+\x20*+[\"']?+([A-Za-z0-9+/_.=-]{16,})"),
+    "mixed": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}"),
 }
 KINDS = (*BASE_KINDS, *_WIDE)
 MIN_BITS = 3.0  # of entropy a character, for wider candidates
+HEAVY = 10_000  # occurrences from which a value can be joined by broadcast
+HEAVY_VALUES = 100_000  # at most so many of them, whatever the corpus
 
 
 def entropy(value: str) -> float:
@@ -90,12 +93,14 @@ def _extract(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["spans", "base_sha256"])
 
 
-def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, max_owners: int = 1) -> DataFrame:
+def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, max_owners: int = 1, max_repositories: int = 3) -> DataFrame:
     """key, base_sha256 and spans of every row; a span has kind, start, end, base, owners, repositories, live.
 
+    live: at most max_owners owners hold the value, in at most max_repositories repositories altogether.
+
     - null and empty texts have no spans. Null owners and repositories each count as one owner or repository of their own.
     - repository defaults to the row's key. A repeated row gets its own, equal result and is no further repository.
-    - wider candidates held by more than max_owners owners are left out; base spans always stay, marked live or not.
+    - wider candidates that are not live are left out; base spans always stay, marked live or not.
     - an empty table gives an empty result; other columns are ignored.
     """
     holder = F.coalesce(F.col(owner).cast("string"), F.lit(""))
@@ -103,17 +108,21 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner:
     extract = F.pandas_udf(_extract, "spans array<struct<start:long,rank:int,kind:string,end:long,value:long>>, base_sha256 string")
     found = df.select(F.col(key).alias("key"), holder.alias("owner"), place.alias("repo"), extract(F.col(text)).alias("found"))
     rows = written(found.select(F.monotonically_increasing_id().alias("row"), "key", "owner", "repo", "found.*"), "secret-candidates")
-    each = rows.where(F.size("spans") > 0).select("row", "owner", "repo", F.explode("spans").alias("span"))
+    each = rows.where(F.size("spans") > 0).select("row", "owner", "repo", F.explode("spans").alias("span")).withColumn("value", F.col("span.value"))
     # By (value, owner, repository), then (value, owner), then value: each step combines before it shuffles.
-    owned = (each.select(F.col("span.value").alias("value"), "owner", "repo").distinct()
-             .groupBy("value", "owner").agg(F.count("*").alias("n"))
-             .groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories")))
-    judged = (each.withColumn("value", F.col("span.value")).join(owned, "value")
-              .withColumn("live", F.col("owners") <= max_owners)
-              .where((F.col("span.rank") < len(BASE_KINDS)) | F.col("live"))
+    owned = (each.groupBy("value", "owner", "repo").agg(F.count("*").alias("times"))
+             .groupBy("value", "owner").agg(F.count("*").alias("n"), F.sum("times").alias("times"))
+             .groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"), F.sum("times").alias("times")))
+    owned = written(owned, "secret-owners")
+    # A value that is everywhere would meet all its spans in one task: such values, few by their number, are broadcast.
+    most = max(HEAVY, (owned.agg(F.sum("times")).first()[0] or 0) // HEAVY_VALUES)
+    heavy = each.join(F.broadcast(owned.where(F.col("times") > most)), "value")
+    light = each.join(F.broadcast(owned.where(F.col("times") > most).select("value")), "value", "left_anti").join(owned.where(F.col("times") <= most), "value")
+    base = F.col("span.rank") < len(BASE_KINDS)
+    judged = (heavy.unionByName(light).withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).where(base | F.col("live"))
               .groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
                   F.col("span.start").alias("start"), F.col("span.rank").alias("rank"), F.col("span.kind").alias("kind"), F.col("span.end").alias("end"),
-                  (F.col("span.rank") < len(BASE_KINDS)).alias("base"), "owners", "repositories", "live"))).alias("found")))
+                  base.alias("base"), "owners", "repositories", "live"))).alias("found")))
     empty = F.array().cast("array<struct<start:long,rank:int,kind:string,end:long,base:boolean,owners:long,repositories:long,live:boolean>>")
     return (rows.select("row", "key", "base_sha256").join(judged, "row", "left")
             .select(F.col("key").alias(key), "base_sha256", F.coalesce("found", empty).alias("spans")))

@@ -61,10 +61,45 @@ def test_pu_learning_separates_and_never_uses_held_out_labels(spark):
 
 def test_nonnegative_risk_keeps_the_negative_part_up():
     rng = np.random.default_rng(0)
-    p = (rng.random((40, 60)) < 0.5).astype(float)
-    u = (rng.random((80, 60)) < 0.5).astype(float)
-    w, b = toxicity.nonnegative_pu(p, u, 0.5)
-    assert np.isfinite(w).all() and np.logaddexp(0, u @ w + b).mean() - 0.5 * np.logaddexp(0, p @ w + b).mean() > -0.5
+
+    def rows(n):
+        row, column = np.nonzero(rng.random((n, 60)) < 0.5)
+        return toxicity.Rows(row, column, n)
+
+    p, u = rows(40), rows(80)
+    w = toxicity.nonnegative_pu(p, u, 60, 0.5)
+    assert np.isfinite(w).all() and np.logaddexp(0, u.dot(w)).mean() - 0.5 * np.logaddexp(0, p.dot(w)).mean() > -0.5
+
+
+def test_gradients_of_the_risk_match_differences():
+    rng = np.random.default_rng(1)
+    x = (rng.random((9, 4)) < 0.5).astype(float)
+    rows, w = toxicity.Rows(*np.nonzero(x), 9), rng.normal(size=5)
+    assert np.allclose(rows.dot(w), x @ w[:4] + w[4])
+    slope = rng.normal(size=9)
+    assert np.allclose(rows.back(slope, 4), np.append(x.T @ slope, slope.sum()) / 9)
+    keep, columns = rng.random(9) < 0.6, np.array([1, -1, 0, -1])
+    small = rows.only(keep, columns)
+    assert np.allclose(small.dot(np.array([2.0, 3.0, 0.5])), x[keep][:, [2, 0]] @ [2.0, 3.0] + 0.5)
+
+
+def test_scores_are_the_sums_of_levels_by_hand():
+    weights = {h: tuple(0.1 * (h % 7 + k) for k in range(4)) for w in ("idiot", "other", "the") for h in toxicity.word_features(w)}
+    model = toxicity.Model(weights, -1.0, 2.0, 0.5)
+    for text in ("", "the idiot", "The 1D10T the other " * 3 + "x " * 400, "the " * 70 + "y " * 500, None):
+        ids = toxicity._Features().of(text).tolist()
+        wanted = 2 * (-1.0 + sum(weights[i & ~3][i & 3] for i in ids if i & ~3 in weights)) + 0.5
+        assert math.isclose(model.logit(text, {}), wanted, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("folder,recall,precision", [("sf0.01", 0.6, 0.95), ("sf0.1", 0.9, 0.95)])
+def test_held_out_toxic_documents_are_found(spark, folder, recall, precision):
+    if not os.path.isdir(f"/root/testdata/{folder}"):
+        pytest.skip("no such tables here")
+    found = {r["doc_id"]: r["predicted"] for r in Q.op1_nonnegative_pu(spark, f"/root/testdata/{folder}").where("held_out").collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"/root/testdata/{folder}/labels.parquet").collect() if r["doc_id"] in found}
+    hits = sum(found[i] for i, t in truth.items() if t)
+    assert hits / sum(truth.values()) >= recall and hits / sum(found[i] for i in truth) >= precision
 
 
 # --- 2 sharding
