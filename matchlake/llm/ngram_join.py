@@ -1,12 +1,14 @@
 """Exact Jaccard join of word n-gram sets by set-relation skipping.
 
 An inverted index over the prefixes of all sets, rarest shingles first, lists for each shingle the sets that hold it and
-at which position. Lists with the same members are read once. In a list, blocks of sets ordered by position are skipped
-where the positions alone rule a link out; what is left is derived from the answers of a list's first set: distances
-between sets obey the triangle inequality, so a set takes over the neighbours of a similar set and only their
-differences are examined, by parity sketches that never overstate a distance. What survives is linked by a forest,
-checked exactly on whole sets; only where an edge fails are the remaining pairs across components checked as well. So
-components are exact, and no group is ever expanded into all its pairs.
+at which position. Lists with the same members are read once. A list is read in the order of positions, and what the
+positions alone rule out is skipped. A set's answers are derived from those of a highly similar set: once a leader's
+distances to the list are computed, its followers look only at the sets near the leader, as distances obey the triangle
+inequality; parity sketches measure them and never overstate one.
+
+Candidates are linked by a forest and checked exactly on whole sets, so no group is expanded into all its pairs. Where an
+edge fails, the nearest pairs of the components it would have joined follow, in batches that grow until none is left. A
+long list is read in parts that share leaders; afterwards only sets outside its largest component meet the other parts.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm.common import written
@@ -26,8 +28,11 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 #: Words rarer than this share of all words count as rare; at most its inverse can be frequent, which bounds the broadcast.
 RARE = 4e-6
 CACHED_WORDS = 250_000
-CHUNK = 2048  # sets of a list that one group holds
-BLOCK = 128
+CHUNK = 512  # sets of a list that one group holds
+LEADERS = 64  # about so many sets of a longer list are in all its groups
+SMALL = 48  # so many sets are compared at once
+BATCH = 64  # pairs that one task proposes for two components, at first
+SALTS = 64  # a set that is in many pairs is sent to at most so many tasks
 BROADCAST_IDS = 1_000_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -142,10 +147,20 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _survivors(pos: np.ndarray, n: np.ndarray, side: np.ndarray, both: bool, sketches: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one list that positions, sizes, derived bounds and sketches do not rule out."""
+def _within(bits, p, size, left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the index pairs left x right, those that positions, sizes and sketches do not rule out, and their distances."""
+    rest = size - p
+    most = (size[left, None] + size[None, right]) * (den - num) // (den + num)
+    x, y = np.nonzero(np.abs(p[left, None] - p[None, right]) + np.abs(rest[left, None] - rest[None, right]) <= most)
+    far = _distance(bits[left[x]], bits[right[y]])
+    near = far <= most[x, y]
+    return left[x[near]], right[y[near]], far[near]
+
+
+def _survivors(pos: np.ndarray, n: np.ndarray, sketches: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of one list, each once, that may link, with the distance that their sketches show."""
     lengths = np.array([len(s) for s in sketches])
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 3]
     for length in np.unique(lengths):
         rows = np.nonzero((lengths == length) | (lengths == 2 * length))[0]
         bits = np.empty((len(rows), length // 8), np.uint64)
@@ -156,30 +171,38 @@ def _survivors(pos: np.ndarray, n: np.ndarray, side: np.ndarray, both: bool, ske
             bits[x] = (s[:length] ^ s[length:] if wide[x] else s).view(np.uint64)
         order = np.argsort(pos[rows], kind="stable")
         rows, bits, wide = rows[order], bits[order], wide[order]
-        p, size, where = pos[rows], n[rows], side[rows]
-        lead = _distance(bits, bits[:1])  # the answers of the first set, from which the others' are derived
-        rest = size - p
-        for a in range(0, len(rows), BLOCK):
-            A = slice(a, a + BLOCK)
-            for b in range(a, len(rows), BLOCK):
-                B = slice(b, b + BLOCK)
-                if (p[b] - p[A].max()) * (den + num) > (size[A].max() + size[B].max()) * (den - num):
-                    if (p[b] - p[A].max()) * (den + num) > (size[A].max() + size.max()) * (den - num):
-                        break
-                    continue
-                most = (size[A, None] + size[None, B]) * (den - num) // (den + num)
-                apart = np.abs(p[A, None] - p[None, B])
-                keep = (apart + np.abs(rest[A, None] - rest[None, B]) <= most) & (np.abs(lead[A, None] - lead[None, B]) <= most) & ~(wide[A, None] & wide[None, B])
-                if both:
-                    keep &= where[A, None] != where[None, B]
-                if a == b:
-                    keep &= np.tri(keep.shape[0], keep.shape[1], -1, dtype=bool).T
-                x, y = np.nonzero(keep)
-                if len(x):
-                    near = _distance(bits[a + x], bits[b + y]) <= most[x, y]
-                    left.append(rows[a + x[near]])
-                    right.append(rows[b + y[near]])
-    return np.concatenate(left), np.concatenate(right)
+        p, size = pos[rows], n[rows]
+
+        def keep(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> None:
+            use = ~(wide[a] & wide[b])  # noqa: B023
+            found.append((rows[a[use]], rows[b[use]], far[use]))  # noqa: B023
+
+        if len(rows) <= SMALL:
+            every = np.arange(len(rows))
+            a, b, far = _within(bits, p, size, every, every, num, den)
+            keep(a[a < b], b[a < b], far[a < b])
+            continue
+        # A leader, the first set left; its distances to all left within reach of its position; its followers' answers of these.
+        left = np.arange(len(rows))
+        while len(left) > 1:
+            lead = left[0]
+            slack = 2 * int(size[lead]) * (den - num) // (den + num) // 4
+            largest = int(size[lead]) + slack  # of a follower; its answers hold at most den / num times as many
+            bound = (largest + min(int(size[left].max()), largest * den // num)) * (den - num) // (den + num)
+            # Positions ascend: what lies beyond the bound is skipped as a whole.
+            reach = left[:np.searchsorted(p[left], p[lead] + 2 * bound, side="right")]
+            far = _distance(bits[reach], bits[lead])
+            follows = (far <= slack) & (p[reach] <= p[lead] + bound) & (size[reach] <= largest)
+            follows[0] = True
+            mine, his = reach[follows], far[follows]
+            a, b, d = _within(bits, p, size, mine, reach[far <= bound + int(his.max())], num, den)
+            place = np.full(len(rows), -1)
+            place[mine] = np.arange(len(mine))
+            once = (place[b] < 0) | (a < b)  # a pair of two followers comes up twice
+            once &= a != b
+            keep(a[once], b[once], d[once])
+            left = left[place[left] < 0]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class _Forest:
@@ -220,34 +243,47 @@ class _Forest:
         return found
 
 
-def _pair_rows(num: int, den: int, whole: bool):
-    """Pairs to check, of lists that arrive as consecutive rows: a forest, or with `whole` all across components."""
+def _nearest(a: np.ndarray, b: np.ndarray, label: np.ndarray, far: np.ndarray, batch: int) -> tuple[np.ndarray, bool]:
+    """Which pairs are among the `batch` nearest of their two components, and whether any are not."""
+    x, y = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+    order = np.lexsort((far, y, x))
+    new = np.ones(len(order), bool)
+    new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order[np.arange(len(order)) - first < batch], bool((np.arange(len(order)) - first >= batch).any())
+
+
+def _pair_rows(num: int, den: int, batch: int | None):
+    """Pairs to check, of groups that arrive as consecutive rows: a forest, or with `batch` the nearest ones of every two components.
+
+    A pair of -1 says that a batch was too small for all pairs.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest, held = _Forest(), None
 
         def pairs(group: pd.DataFrame) -> list[tuple[int, int]]:
             nodes, label = group["rep"].to_numpy(), group["label"].to_numpy()
-            if len(nodes) < 2 or (whole and (label == label[0]).all()):
+            if len(nodes) < 2 or (batch and (label == label[0]).all()):
                 return []
-            i = group["i"].iat[0]
-            a, b = _survivors(group["pos"].to_numpy().astype(np.int64), group["n"].to_numpy().astype(np.int64), group["chunk"].to_numpy() == i,
-                              i != group["j"].iat[0], group["sketch"].tolist(), num, den)
-            if not whole:
+            a, b, far = _survivors(group["pos"].to_numpy().astype(np.int64), group["n"].to_numpy().astype(np.int64), group["sketch"].tolist(), num, den)
+            if not batch:
                 return forest.joining(nodes, a, b)
             cross = label[a] != label[b]
-            x, y = nodes[a[cross]], nodes[b[cross]]
-            return list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+            a, b, far = a[cross], b[cross], far[cross]
+            at, more = _nearest(a, b, label, far, batch)
+            x, y = nodes[a[at]], nodes[b[at]]
+            return [*zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True), *([(-1, -1)] if more else [])]
 
-        for batch in batches:
+        for rows in batches:
             if held is not None:
-                batch = pd.concat([held, batch], ignore_index=True)
-            key = batch[["token", "i", "j"]].to_numpy()
-            starts = np.concatenate([[0], 1 + np.nonzero((key[1:] != key[:-1]).any(axis=1))[0]]) if len(batch) else np.array([0])
+                rows = pd.concat([held, rows], ignore_index=True)
+            key = rows[["token", "i", "j"]].to_numpy()
+            starts = np.concatenate([[0], 1 + np.nonzero((key[1:] != key[:-1]).any(axis=1))[0]]) if len(rows) else np.array([0])
             out = []
             for s, e in zip(starts[:-1], starts[1:], strict=True):
-                out += pairs(batch.iloc[s:e])
-            held = batch.iloc[starts[-1]:]
+                out += pairs(rows.iloc[s:e])
+            held = rows.iloc[starts[-1]:]
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
         if held is not None and len(held):
             yield pd.DataFrame(pairs(held), columns=["a", "b"], dtype=np.int64)
@@ -262,72 +298,168 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         best = (both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node"))
         step = labels.join(best, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = written(step.join(jump, "label", "left").select("node", "old", F.coalesce(F.least("label", "further"), "label").alias("label")), "join-labels")
+        # Only nodes that are labels are asked for theirs; a large component is then one row on that side, not one task.
+        roots = labels.select("label").distinct().join(labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label")
+        step = written(step.join(roots, "label", "left").select("node", "old", F.coalesce(F.least("label", "further"), "label").alias("label")), "join-labels")
         if step.where("label <> old").limit(1).count() == 0:
             return step.select("node", "label")
         labels = step.select("node", "label")
 
 
-def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """key, n_shingles and component_id (smallest key reachable by links) of every row.
+def _identity(text: Column) -> list[Column]:
+    """128 bits of a text, by which a set's text is found again."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
-    Two rows link when 100 * intersection >= percent * union of their sets of distinct shingles of `size` words.
 
-    - fewer words than size: the whole sequence is the one shingle. No words, empty or null text: n_shingles 0, linked
-      with nothing. Keys are whole numbers; a row of null key links only through a row of equal set.
-    - repeated rows get equal results; rows that share a key count as one document. Ties cannot occur: labels are minima.
-    - an empty table gives an empty result; other columns are ignored.
+def _dealt(members: DataFrame) -> DataFrame:
+    """Rows of lists by group (token, i, j): a list of at most CHUNK sets is one; a longer one has parts that share leaders."""
+    parts = F.ceil(F.col("k") / F.lit(CHUNK)).cast("int")
+    leads = (F.col("k") > CHUNK) & (F.pmod(F.xxhash64("rep", F.lit(5)), F.col("k")) < LEADERS)
+    own = F.array(F.pmod(F.xxhash64("rep", F.lit(3)), parts).cast("int"))
+    return members.withColumn("i", F.explode(F.when(leads, F.sequence(F.lit(0), parts - 1)).otherwise(own))).withColumn("j", F.lit(0))
+
+
+def _dealt_again(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows, with their labels, of the lists that hold several components.
+
+    A list of at most CHUNK sets is one group. Of a longer one the sets outside its largest component, by parts j, meet
+    all sets, by parts i; those inside need not meet each other again.
     """
+    named = members.select("token", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("token", F.coalesce("label", "rep").alias("label"))
+    sizes = named.groupBy("token", "label").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.max("size").alias("most"), F.count("*").alias("parties"))
+    rows = (members.join(sizes.where("parties > 1"), "token").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    half = F.lit(CHUNK // 2)
+    all_parts, few_parts = F.ceil(F.col("k") / half).cast("int"), F.ceil((F.col("k") - F.col("most")) / half).cast("int")
+    short = rows.where(F.col("k") <= CHUNK).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    long = rows.where(F.col("k") > CHUNK)
+    every = (long.withColumn("i", F.pmod(F.xxhash64("rep", F.lit(3)), all_parts).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), few_parts - 1))))
+    few = (long.where("label <> largest").withColumn("j", F.pmod(F.xxhash64("rep", F.lit(4)), few_parts).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), all_parts - 1))))
+    few = few.where(F.col("i") != F.pmod(F.xxhash64("rep", F.lit(3)), all_parts))  # there it is already
+    return short.unionByName(every).unionByName(few).drop("largest", "most", "parties")
+
+
+def _of_shared_keys(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes of the rows that share a key."""
+    keyed = rows.where("n > 0 AND key IS NOT NULL")
+    one = F.struct("n", "hi", "lo")
+    several = (keyed.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low <> high")
+               .select("key", F.col("low.n").alias("low_n"), F.col("low.hi").alias("low_hi"), F.col("low.lo").alias("low_lo")))
+    pairs = keyed.join(several, "key").select("n", "hi", "lo", "low_n", "low_hi", "low_lo").distinct().join(classes.select("n", "hi", "lo", F.col("rep").alias("b")), ["n", "hi", "lo"]).drop("n", "hi", "lo")
+    named = pairs.withColumnsRenamed({"low_n": "n", "low_hi": "hi", "low_lo": "lo"}).join(classes.select("n", "hi", "lo", F.col("rep").alias("a")), ["n", "hi", "lo"])
+    return named.where("a <> b").select("a", "b")
+
+
+def linked_texts(df: DataFrame, key: str, text: str, size: int, percent: int, share_keys: bool) -> DataFrame:
+    """key, t1 and t2 (the text's identity), n (set size) and label of every row; rows of one component have one label.
+
+    share_keys says that rows of one key are one document. Rows without words have no label.
+    """
+    if percent < 50:
+        raise ValueError("sketches of more than twice the width are not compared: percent is at least 50")
     spark = df.sparkSession
     num, den = percent, 100
-    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    docs = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shared = spark.sparkContext.broadcast(frequency_classes(docs.select("text")))
-    rows = written(docs.select("key", _index(size, num, den, shared)(F.col("text")).alias("r")).select("key", "r.*"), "join-rows")
+    rows = written(docs.select("key", *_identity(F.col("text")), _index(size, num, den, shared)(F.col("text")).alias("r")).select("key", "t1", "t2", "r.*"), "join-rows")
 
-    # Equal sets are one class, whose smallest key stands for it; combined before the shuffle, so hot copies are few rows.
-    classes = written(rows.where("n > 0 AND key IS NOT NULL").groupBy("n", "hi", "lo").agg(F.min("key").alias("rep"), F.min_by(F.struct("prefix", "sketch"), "key").alias("own"))
-                      .select("rep", "n", "hi", "lo", "own.prefix", "own.sketch"), "join-classes")
+    # Equal sets are one class, numbered; combined before the shuffle, so hot copies are few rows.
+    classes = (rows.where("n > 0").groupBy("n", "hi", "lo").agg(F.min_by(F.struct("t1", "t2", "prefix", "sketch"), F.struct("t1", "t2")).alias("own"))
+               .select(F.monotonically_increasing_id().alias("rep"), "n", "hi", "lo", "own.*"))
+    classes = written(classes, "join-classes")
 
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     stats = (postings.groupBy("token").agg(F.count("*").alias("k"), F.min("rep").alias("least"), F.sum(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("s1"),
                                            F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("s2")).where("k > 1"))
     lists = stats.groupBy("k", "least", "s1", "s2").agg(F.min("token").alias("token")).select("token", "k", "least")
-    chunks = F.ceil(F.col("k") / F.lit(CHUNK)).cast("int")
-    members = (postings.join(lists, "token").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int"))
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-               .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-               # lists of one group meet in few tasks, which then propose fewer edges; longer lists are spread over more
-               .withColumn("salt", F.pmod(F.xxhash64("token"), F.when(F.col("k") <= 2, F.lit(1)).otherwise(F.lit(8) + F.ceil(F.col("k") / F.lit(256)))))
-               .select("token", "least", "salt", "i", "j", "chunk", "pos", "rep", "n"))
+    # lists of one group meet in few tasks, which then propose fewer edges; longer lists are spread over more
+    salt = F.pmod(F.xxhash64("token"), F.when(F.col("k") <= 2, F.lit(1)).otherwise(F.lit(8) + F.ceil(F.col("k") / F.lit(64))))
+    members = postings.join(lists, "token").select("token", "k", "least", salt.alias("salt"), "pos", "rep", "n")
     members = written(members.join(classes.select("rep", "sketch"), "rep"), "join-lists")
 
-    def proposed(labels: DataFrame | None) -> DataFrame:
-        given = members.withColumn("label", F.col("rep")) if labels is None else members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        dealt = given.repartition("least", "salt", "i", "j").sortWithinPartitions("least", "salt", "token", "i", "j", "pos")
-        return dealt.mapInPandas(_pair_rows(num, den, labels is not None), "a long, b long").distinct()
+    def proposed(given: DataFrame, batch: int | None) -> DataFrame:
+        given = given.select("token", "least", "salt", "i", "j", "pos", "rep", "n", "sketch", "label").repartition("least", "salt", "i", "j")
+        return given.sortWithinPartitions("least", "salt", "token", "i", "j", "pos").mapInPandas(_pair_rows(num, den, batch), "a long, b long").distinct()
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs that link, by their whole sets."""
-        ids = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        few = ids.count() <= BROADCAST_IDS
-        sets = written(docs.join(F.broadcast(ids) if few else ids, "key", "left_semi").dropDuplicates(["key"]).select("key", _sets(size)(F.col("text")).alias("items")), "join-sets")
-        joined = (pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
-                  .join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b"))
+        ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+        texts = written(ids.join(classes.select("rep", "t1", "t2"), "rep"), "join-asked")
+        asked = F.broadcast(texts) if texts.count() <= BROADCAST_IDS else texts
+        there = docs.select("text", *_identity(F.col("text"))).join(asked, ["t1", "t2"]).dropDuplicates(["rep"])
+        sets = written(there.select("rep", _sets(size)(F.col("text")).alias("items")), "join-sets")
+        joined = pairs.withColumn("salt_a", F.pmod(F.xxhash64("b"), F.lit(SALTS))).withColumn("salt_b", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+        for side, items in (("a", "x"), ("b", "y")):
+            # A set goes once to each task that has pairs of it, and a set of very many pairs to SALTS tasks.
+            needed = joined.select(side, f"salt_{side}").distinct().join(sets.select(F.col("rep").alias(side), F.col("items").alias(items)), side)
+            joined = joined.join(needed, [side, f"salt_{side}"])
         common = F.size(F.array_intersect("x", "y"))
         return joined.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    first = written(proposed(None), "join-pairs")
-    # rows that share a key but not a set make their classes one document
-    shared_keys = (rows.where("n > 0").join(classes.select("rep", "n", "hi", "lo"), ["n", "hi", "lo"]).where("key <> rep")
-                   .join(classes.select(F.col("rep").alias("key")), "key", "left_semi").select(F.col("rep").alias("a"), F.col("key").alias("b")))
+    first = written(proposed(_dealt(members).withColumn("label", F.col("rep")), None), "join-pairs")
     held = written(links(first), "join-links")
-    good = held.unionByName(shared_keys)
-    labels = components(good)
-    if held.count() < first.count():
-        more = written(proposed(labels).join(first, ["a", "b"], "left_anti"), "join-pairs")
-        if more.limit(1).count():
-            labels = components(good.unionByName(links(more)))
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "hi", "lo", F.coalesce("label", "rep").alias("component"))
-    return (rows.join(named, ["n", "hi", "lo"], "left")
-            .select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "key").alias("component_id")))
+    labels = components(held)
+    n_tested, batch, more = first.count(), BATCH, True
+    tested = first
+    if held.count() == n_tested and not members.where(F.col("k") > CHUNK).limit(1).count():
+        more = False
+    while more:
+        asked = written(proposed(_dealt_again(members, labels), batch), "join-pairs")
+        more = bool(asked.where("a = -1").limit(1).count())
+        fresh = written(asked.where("a <> -1").join(tested, ["a", "b"], "left_anti"), "join-pairs")
+        if fresh.limit(1).count():
+            new = written(links(fresh), "join-links")
+            tested, held = tested.unionByName(fresh), held.unionByName(new)
+            if new.limit(1).count():
+                labels = components(held)
+        batch *= 8
+
+    if share_keys:
+        shared_keys = written(_of_shared_keys(rows, classes), "join-shared")
+        if shared_keys.limit(1).count():
+            labels = components(held.unionByName(shared_keys))
+    named = classes.select("rep", "n", "hi", "lo").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "hi", "lo", F.coalesce("label", "rep").alias("label"))
+    return rows.select("key", "t1", "t2", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left").select("key", "t1", "t2", "n", "label")
+
+
+def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
+    """key, n_shingles and component_id (smallest key reachable by links) of every row.
+
+    Two rows link when 100 * intersection >= percent * union of their sets of distinct shingles of `size` words.
+
+    - fewer words than size: the whole sequence is the one shingle. No words, empty or null text: n_shingles 0, linked
+      with nothing; component_id is the key.
+    - keys are whole numbers. Rows of null key link as others do; where a component has no other key, its id is null.
+    - rows that share a key are one document, whatever their texts, and so in one component. Repeated rows get equal
+      results. Ties cannot occur: ids are minima. The order of rows never matters.
+    - percent is at least 50. An empty table gives an empty result; other columns are ignored.
+    """
+    linked = written(linked_texts(df, key, text, size, percent, share_keys=True), "join-labelled")
+    least = linked.where("label IS NOT NULL").groupBy("label").agg(F.min("key").alias("component"))
+    return linked.join(least, "label", "left").select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component")).alias("component_id"))
+
+
+def keep_one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df, all columns as they are, but of each group of linked texts only the one of the smallest key.
+
+    - texts without words are copies of their equals; null equals the empty text.
+    - null keys come last; among equal keys the texts' hashes decide, so that neither chance nor order does. Rows that
+      repeat key and text stay once. A key that several unlinked texts share keeps them all.
+    """
+    linked = written(linked_texts(df, key, text, size, percent, share_keys=False), "join-labelled")
+    rows = linked.groupBy("key", "t1", "t2", "n", "label").agg(F.count("*").alias("times"))
+    choice = F.struct(F.col("key").isNull().alias("unnamed"), "key", "t1", "t2", "times")
+    blank = F.col("n") == 0
+    stays = (rows.groupBy(blank.alias("blank"), F.when(blank, F.col("t1")).otherwise(F.col("label")).alias("g1"), F.when(blank, F.col("t2")).otherwise(F.lit(0)).alias("g2"))
+             .agg(F.min(choice).alias("best")).select("best.key", "best.t1", "best.t2", "best.times"))
+    stays = written(stays, "join-stays")
+    # The row is one column here, so that no name of df can clash; the key is part of the join, so that copies are spread.
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(key).cast("long").alias("own"), *_identity(F.coalesce(F.col(text), F.lit(""))))
+
+    def there(chosen: DataFrame) -> DataFrame:
+        return packed.join(chosen.select("key", "t1", "t2"), packed["own"].eqNullSafe(chosen["key"]) & (packed["t1"] == chosen["t1"]) & (packed["t2"] == chosen["t2"]), "left_semi")
+
+    repeated = stays.where("times > 1")
+    out = there(stays.where("times = 1")).select("doc")
+    if repeated.limit(1).count():
+        out = out.unionByName(there(repeated).dropDuplicates(["own", "t1", "t2"]).select("doc"))
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in df.columns])
