@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchlake.llm import pii, toxicity
 from matchlake.llm.common import written
 from matchlake.llm.decontamination import keep_unleaked
-from matchlake.llm.ngram_join import similar_sets
+from matchlake.llm.ngram_join import keep_one_of_each
 from matchlake.llm.packing import pack_documents
 
 
@@ -22,21 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by 5-word shingles at a similarity of 0.8.
-
-    Texts without words are copies of their equals as well: the smallest id of each such text stays. Rows that repeat an
-    id are one document. A row of null id goes if it has no words or its text equals another row's.
-    """
-    found = similar_sets(docs, size=5, percent=80)
-    stays = found.where((F.col("component_id") == F.col("doc_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(stays, docs["doc_id"] == F.col("__kept"), "left_semi")
-    blank = F.coalesce(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))), F.lit(0)) == 0
-    first = kept.where(blank).groupBy(F.coalesce("text", F.lit("")).alias("__text")).agg(F.min("doc_id").alias("__first")).select("__first")
-    worded = kept.where(~blank).dropDuplicates(["doc_id"])
-    unnamed = docs.where(F.col("doc_id").isNull() & ~blank).dropDuplicates(["text"])
-    named = docs.where("doc_id IS NOT NULL").select(F.xxhash64("text").alias("__hash")).distinct()
-    unnamed = unnamed.join(named, F.xxhash64("text") == F.col("__hash"), "left_anti")
-    return worded.unionByName(kept.where(blank).join(first, F.col("doc_id") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])).unionByName(unnamed)
+    """One document, that of the smallest id, of each group linked by 5-word shingles at a similarity of 0.8."""
+    return keep_one_of_each(docs, size=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
