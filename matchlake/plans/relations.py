@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchlake.functions.text import name_key, similar
+from matchlake.functions.text import similar
+from matchlake.operators.names import alike_pairs
 from matchlake.operators import joins as J
 from matchlake.plans.registry import query
 from matchlake.plans.statistics import _KILLS, kills_of
@@ -129,20 +130,18 @@ def nearest_dimension(spark, d):
 
 
 @query("fuzzy_names", """SELECT p_brand AS brand, b.name, levenshtein(lower(p_brand), lower(b.name)) AS edits, count(*) AS n FROM part, (SELECT DISTINCT p_brand AS name FROM part) b
-WHERE lower(left(p_brand, 6)) = lower(left(b.name, 6)) AND levenshtein(lower(p_brand), lower(b.name)) <= greatest(1, CAST(round_even(0.2 * greatest(length(p_brand), length(b.name)), 0) AS INT)) GROUP BY ALL""")
+WHERE levenshtein(lower(p_brand), lower(b.name)) <= greatest(1, CAST(round_even(0.2 * greatest(length(p_brand), length(b.name)), 0) AS INT)) GROUP BY ALL""")
 def fuzzy_names(spark, d):
     brands = table(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("n"))
-    names = brands.select(F.col("brand").alias("name"))
-    block = lambda c: name_key(F.left(c, F.lit(6)))
-    a, b = brands.withColumn("block", block(F.col("brand"))), names.withColumn("block", block(F.col("name")))
-    edits = F.levenshtein(F.lower("brand"), F.lower("name"))
-    return a.join(b, "block").where(edits <= F.greatest(F.lit(1), F.bround(0.2 * F.greatest(F.length("brand"), F.length("name"))).cast("int"))).select("brand", "name", edits.alias("edits"), "n")
+    lower = brands.select("brand", "n", F.lower("brand").alias("a"))
+    pairs = alike_pairs(lower, "a").join(lower, "a").join(lower.select(F.col("brand").alias("name"), F.col("a").alias("b")), "b")
+    edits = F.levenshtein("a", "b")
+    return pairs.where(edits <= F.greatest(F.lit(1), F.bround(0.2 * F.greatest(F.length("a"), F.length("b"))).cast("int"))).select("brand", "name", edits.alias("edits"), "n")
 
 
-@query("similar_prefix_names", "SELECT count(*) AS pairs FROM (SELECT DISTINCT p_type AS a FROM part) x, (SELECT DISTINCT p_type AS b FROM part) y WHERE a < b AND left(a, 4) = left(b, 4) AND ((least(length(a), length(b)) >= 6 AND levenshtein(left(a, least(length(a), length(b))), left(b, least(length(a), length(b)))) <= 1) OR levenshtein(a, b) <= greatest(1, CAST(round_even(0.2 * greatest(length(a), length(b)), 0) AS INT)))")
+@query("similar_prefix_names", "SELECT count(*) AS pairs FROM (SELECT DISTINCT p_type AS a FROM part) x, (SELECT DISTINCT p_type AS b FROM part) y WHERE a < b AND ((least(length(a), length(b)) >= 6 AND levenshtein(left(a, least(length(a), length(b))), left(b, least(length(a), length(b)))) <= 1) OR levenshtein(a, b) <= greatest(1, CAST(round_even(0.2 * greatest(length(a), length(b)), 0) AS INT)))")
 def similar_prefix_names(spark, d):
-    names = table(spark, d, "part").select(F.col("p_type").alias("a")).distinct().withColumn("block", F.left("a", F.lit(4)))
-    return names.join(names.withColumnRenamed("a", "b"), "block").where("a < b").where(similar(F.col("a"), F.col("b"))).agg(F.count("*").alias("pairs"))
+    return alike_pairs(table(spark, d, "part"), "p_type").where("a < b").where(similar(F.col("a"), F.col("b"))).agg(F.count("*").alias("pairs"))
 
 
 @query("json_extract_or_null", """SELECT event_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INT) AS k FROM events""")

@@ -12,9 +12,10 @@ def stream_dedup_window(spark, d):
 
 
 @query("stream_session", """SELECT min(ts) AS start, event_type, count(*) AS n FROM (SELECT *, sum(CASE WHEN since IS NULL OR since > 600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts) AS run
-FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) AS since FROM events)) GROUP BY event_type, run""")
+FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) AS since FROM events)) GROUP BY event_type, run
+HAVING max(ts) + INTERVAL 10 MINUTE + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)""")
 def stream_session(spark, d):
-    return I.drain(I.session_counts(I.events_stream(spark, d)), "complete", ["start", "event_type"])
+    return I.drain(I.session_counts(I.events_stream(spark, d)), "append", ["start", "event_type"])
 
 
 @query("stream_state", "SELECT user_id, count(*) FILTER (changed) AS changes, count(*) AS n FROM (SELECT *, event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS changed FROM events) GROUP BY ALL")

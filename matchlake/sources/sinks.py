@@ -44,17 +44,32 @@ def orphans(known: DataFrame, games: DataFrame, key: str = "game_uid") -> DataFr
     return known.join(games.select(key), key, "left_anti")
 
 
+def _family(outcome: Column) -> Column:
+    """Series of kills exchange verdicts only among themselves."""
+    return F.coalesce(F.startswith(outcome, F.lit("series_")), F.lit(False))
+
+
 def keep_verdicts(new: DataFrame, old: DataFrame, within: float = 3.0) -> DataFrame:
-    """new with the verdict of the old episode of equal game, kind, point and team whose start is at most `within` away.
+    """new with the verdict of the old episode of equal game, kind, point, team and family that starts at most `within` away.
 
-    An old row serves the first new row, by start, that it matches; of several old rows the earliest serves.
+    Two null points or teams are equal. An old row serves every new row within reach; of several old rows the earliest
+    serves. Without an outcome column all episodes are of one family.
     """
     keys = ["game_id", "kind", "point", "team"]
-    kept = old.where(F.col("verdict").isNotNull()).select(*keys, F.col("t0").alias("old_t0"), F.col("verdict").alias("old_verdict"))
-    pairs = new.select(*keys, "t0").join(kept, keys).where(F.abs(F.col("t0") - F.col("old_t0")) <= within)
-    first = pairs.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "old_t0").orderBy("t0"))).where("nth = 1")
-    best = first.groupBy(*keys, "t0").agg(F.min(F.struct("old_t0", "old_verdict")).alias("m"))
-    return new.drop("verdict").join(best.select(*keys, "t0", F.col("m.old_verdict").alias("verdict")), [*keys, "t0"], "left")
+    families = [_family(F.col("outcome")) if "outcome" in df.columns else F.lit(False) for df in (new, old)]
+    numbered = new.drop("verdict").select(F.struct("*").alias("row"), *[F.col(k).alias(f"new_{k}") for k in keys], F.col("t0").alias("new_t0"), families[0].alias("new_family"))
+    kept = old.where(F.col("verdict").isNotNull()).select(*[F.col(k).alias(f"old_{k}") for k in keys], F.col("t0").alias("old_t0"), families[1].alias("old_family"), F.col("verdict").alias("old_verdict"))
+    same = (F.col("new_game_id") == F.col("old_game_id")) & (F.col("new_kind") == F.col("old_kind")) & (F.col("new_family") == F.col("old_family"))
+    for k in ("point", "team"):
+        same &= F.col(f"new_{k}").eqNullSafe(F.col(f"old_{k}"))
+    asked = numbered.select(*[f"new_{k}" for k in keys], "new_t0", "new_family").distinct()
+    best = (asked.join(kept, same & (F.abs(F.col("new_t0") - F.col("old_t0")) <= within))
+            .groupBy(*[f"new_{k}" for k in keys], "new_t0", "new_family").agg(F.min(F.struct("old_t0", "old_verdict")).alias("best")))
+    best = best.withColumnsRenamed({f"new_{k}": f"its_{k}" for k in (*keys, "t0", "family")})
+    there = F.lit(True)
+    for k in (*keys, "t0", "family"):
+        there &= F.col(f"new_{k}").eqNullSafe(F.col(f"its_{k}"))
+    return numbered.join(best, there, "left").select("row.*", F.col("best.old_verdict").alias("verdict"))
 
 
 def stale(games: DataFrame, done: DataFrame, module: str, revision: int) -> DataFrame:

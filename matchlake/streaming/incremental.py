@@ -32,7 +32,7 @@ def windowed_counts(events: DataFrame, late: str = "1 day", width: str = "1 hour
 
 
 def session_counts(events: DataFrame, gap: str = "10 minutes", late: str = "1 day") -> DataFrame:
-    """Sessions by kind; events at most `gap` apart belong together."""
+    """Sessions by kind; events at most `gap` apart belong together. Appended once the watermark has passed them, and then forgotten."""
     return (events.withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), "event_type").agg(F.count("*").alias("n"))
             .select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n"))
 

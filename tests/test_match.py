@@ -77,6 +77,14 @@ def test_verdicts_follow_moved_episodes(spark):
     assert [r["verdict"] for r in sinks.keep_verdicts(new, old).orderBy("t0").collect()] == ["ko", None]
 
 
+def test_verdicts_of_null_points_and_of_families(spark):
+    schema = "game_id long, kind string, point string, team string, t0 double, outcome string, verdict string"
+    new = spark.createDataFrame([(1, "k", None, "A", 10.0, "series_3", None), (1, "k", None, "A", 11.0, "lost", None), (1, "k", None, "A", 12.0, "series_2", None), (1, "k", "B", None, 50.0, None, None)], schema)
+    old = spark.createDataFrame([(1, "k", None, "A", 11.5, "series_4", "ko"), (1, "k", None, "A", 9.5, "series_4", "ok"), (1, "k", "B", None, 50.5, "lost", "ok"), (1, "k", None, "A", 11.0, "lost", None)], schema)
+    # one old row serves every new one within reach, the earliest first; a series never serves another episode
+    assert [r["verdict"] for r in sinks.keep_verdicts(new, old).orderBy("t0").collect()] == ["ok", None, "ok", "ok"]
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     make = spark.createDataFrame

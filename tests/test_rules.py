@@ -1,15 +1,33 @@
 """Names, countdowns and the sequential rules."""
 
+import random
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from matchlake.functions.text import similar
 from matchlake.operators import names as N
 from matchlake.operators import stateful as S
 from matchlake.operators.timer import games_of_timer
 
 
-def test_soft_distance():
-    assert N.soft_distance("XAV0", "HAVO") == 0.7 and N.soft_distance("AB", "") == 2.0 and N.soft_distance("ABC", "ABD") == 1.0
+def test_soft_distances():
+    a, b = pd.Series(["XAV0", "AB", "ABC"]), pd.Series(["HAVO", "", "ABD"])
+    table = N.soft_distances(a, b)
+    assert [table[i, len(x), len(y)] for i, (x, y) in enumerate(zip(a, b, strict=True))] == [0.7, 2.0, 1.0]
+
+
+def test_alike_pairs_lose_none(spark):
+    rng = random.Random(2)
+    names = {"".join(rng.choice("AB1C") for _ in range(rng.randrange(1, 14))) for _ in range(150)}
+    for n in list(names)[:60]:
+        at = rng.randrange(len(n))
+        names |= {n[:at] + "X" + n[at + 1:], n[:at] + n[at + 1:] or "Q", n + "AB1", "Z" + n}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = N.alike_pairs(df, "name").where(similar(F.col("a"), F.col("b")))
+    every = df.select(F.col("name").alias("a")).join(df.select(F.col("name").alias("b")), F.lit(True)).where(similar(F.col("a"), F.col("b")))
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, every.collect()))
 
 
 def test_closest_names(spark):
