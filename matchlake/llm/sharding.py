@@ -1,7 +1,8 @@
 """Sharding by sampled splitters, in DataFrame operations only.
 
 A size-weighted sample of keys gives quantile boundaries; rows are range-partitioned by them; ranges that hold too many
-bytes are subdivided at quantiles of their own. Within a range a window adds sizes up, ranges are chained by their
+bytes are subdivided at quantiles of their own. What then still holds too many rows, be it many keys or one hot key, is
+subdivided by ranges of the text's checksum, and, where equal rows are too many, by row. Within a range a window adds sizes up, ranges are chained by their
 totals, and a record goes to the shard in which the middle of its bytes falls. So shards differ by less than one record
 whatever the sample was: the sample decides only how evenly the work is spread.
 """
@@ -10,10 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from matchlake.llm.common import written
 
 SCHEMA = "doc_id, size, text_crc32, law, shard, slot, grown_shard"
+RANGE_ROWS = 1_000_000  # of a range at most, so that the number of ranges grows with the rows and no window does
 
 
 def _at_or_below(bounds: Column, key: Column) -> Column:
@@ -34,8 +37,9 @@ def shard_by_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", shard
     """
     text_col = F.coalesce(F.col(text), F.lit(""))
     rows = written(df.select(F.col(key).alias("doc_id"), (F.octet_length(text_col).cast("long") + 8).alias("size"),
-                             F.crc32(text_col).alias("text_crc32")), "shard-sizes")
-    order = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
+                             F.crc32(text_col).alias("text_crc32"), F.monotonically_increasing_id().alias("row")), "shard-sizes")
+    numeric = isinstance(df.schema[key].dataType, NumericType)
+    order = F.coalesce((F.col("doc_id") if numeric else F.xxhash64("doc_id")).cast("double"), F.lit(float("-inf")))
     total = rows.agg(F.sum("size")).first()[0] or 0
     ranges = shards * ranges_per_shard
 
@@ -55,16 +59,23 @@ def shard_by_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", shard
     fine = (coarse.join(F.broadcast(cuts), "part", "left")
             .withColumn("sub", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(_at_or_below(F.col("cuts"), order)))
             .drop("cuts"))
+    cell = ["part", "sub"]
 
-    # Totals of at most ranges * sub_ranges ranges, chained.
-    chain = Window.orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (fine.groupBy("part", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-              .select("part", "sub", F.coalesce(F.sum("bytes").over(chain), F.lit(0)).alias("bytes_before"),
+    # Ranges of too many rows are cut by checksum, and what is still too large, equal rows, by row.
+    for level, place in (("by_text", F.floor(F.col("text_crc32") * F.col("cells") / F.lit(float(1 << 32)))), ("by_row", F.pmod(F.xxhash64("row"), F.col("cells")))):
+        sizes = fine.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(float(RANGE_ROWS))).alias("cells")).where("cells > 1")
+        fine = fine.join(F.broadcast(sizes), cell, "left").withColumn(level, F.when(F.col("cells").isNull(), F.lit(0)).otherwise(place)).drop("cells")
+        cell = [*cell, level]
+
+    # Totals of the ranges, chained: rows / RANGE_ROWS and at most ranges * sub_ranges more.
+    chain = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (fine.groupBy(*cell).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+              .select(*cell, F.coalesce(F.sum("bytes").over(chain), F.lit(0)).alias("bytes_before"),
                       F.coalesce(F.sum("n").over(chain), F.lit(0)).alias("rows_before")))
-    inside = Window.partitionBy("part", "sub").orderBy("doc_id", "size", "text_crc32")
+    inside = Window.partitionBy(*cell).orderBy("doc_id", "size", "text_crc32", "row")
     so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
     placed = (fine.select("*", F.row_number().over(inside).alias("nth"), F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias("before"))
-              .join(F.broadcast(starts), ["part", "sub"])
+              .join(F.broadcast(starts), cell)
               .select("doc_id", "size", "text_crc32", (F.col("rows_before") + F.col("nth") - 1).alias("place"),
                       # floor((start + size / 2) * shards / total) in whole numbers
                       F.least(F.lit(shards - 1), F.expr(f"cast((2 * (bytes_before + before) + size) * {shards} div {2 * max(total, 1)} as int)")).alias("shard")))

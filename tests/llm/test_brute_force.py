@@ -129,6 +129,23 @@ def test_shards_of_one_hot_key_and_one_giant(spark):
     assert len(found) == 501 and max(sizes.values()) - min(sizes.values()) <= 2 * 5008
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ranges_of_too_many_rows_are_cut(spark, monkeypatch, kind):
+    """One hot key, a null one and equal rows, in ranges of a few rows each: the law holds as before."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 20)
+    rng = random.Random(3)
+    rows = [(1, "y" * rng.randrange(200)) for _ in range(300)] + [(None, "z" * rng.randrange(50)) for _ in range(200)] + [(2, "same")] * 200 + [(i, "x" * rng.randrange(300)) for i in range(3, 200)]
+    rows = [(None if k is None else str(k) if kind == "string" else k, t) for k, t in rows]
+    found = sharding.shard_by_bytes(spark.createDataFrame(rows, f"doc_id {kind}, text string"), shards=7).collect()
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for r in found:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert sorted((str(r["doc_id"]), r["size"]) for r in found) == sorted((str(k), len(t) + 8) for k, t in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 308 and len(sizes) == 7
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # --- 3 n-gram join
 
 
