@@ -31,7 +31,7 @@ CACHED_WORDS = 250_000
 CHUNK = 512  # sets of a list that one group holds
 LEADERS = 64  # about so many sets of a longer list are in all its groups
 SMALL = 48  # so many sets are compared at once
-BATCH = 64  # pairs that one task proposes for two components, at first
+BATCH = 1024  # pairs that one task proposes for two components, at first
 SALTS = 64  # a set that is in many pairs is sent to at most so many tasks
 BROADCAST_IDS = 1_000_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
