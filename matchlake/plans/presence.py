@@ -36,7 +36,7 @@ _CELLS = f""", cells AS (SELECT *, CAST(greatest(0, least({N - 1}, trunc(x * {N}
 SELECT ix, iy, round(sum(step), 3) AS seconds, count(DISTINCT game_id) AS games FROM cells JOIN steps USING (game_id) WHERE alive GROUP BY ix, iy""")
 def presence_grid(spark, d):
     ev = samples(spark, d)
-    return (cell_counts(ev).where("alive").join(F.broadcast(frame_steps(ev)), "game_id").groupBy("ix", "iy")
+    return (cell_counts(ev).where("alive").join(frame_steps(ev), "game_id").groupBy("ix", "iy")
             .agg(F.round(F.sum("step"), 3).alias("seconds"), F.count_distinct("game_id").alias("games")))
 
 
