@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from matchlake.llm.quality import COMMON_WORDS
+from matchlake.llm.quality import COMMON_WORDS, EVERY, LOWER, MARKS, UPPER
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _LISTS = ", ".join(f"('{g}', {words})" for g, words in COMMON_WORDS.items())
-_EVERY = sorted({w for words in COMMON_WORDS.values() for w in words})
+_BARE = f"trim(translate(y, '{UPPER}', '{LOWER}'), '{MARKS.replace(chr(39), chr(39) * 2)}')"
 
 
 def _count(kind: str) -> str:
@@ -17,18 +17,20 @@ def _count(kind: str) -> str:
 OP7 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN lang ELSE 'other' END AS g FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda x: x <> '') AS words FROM d),
-f AS (SELECT r, doc_id, g, words, len(words) AS n_words, length(text) AS n_chars, {_count(chr(92) + 'x20' + chr(92) + 'x09-' + chr(92) + 'x0D')} AS spaces, {_count('a-z')} AS lower_, {_count('A-Z')} AS upper_, {_count('0-9')} AS digits,
+f AS (SELECT r, doc_id, g, words, list_transform(words, lambda y: {_BARE}) AS bare, len(words) AS n_words, length(text) AS n_chars, {_count(chr(92) + 'x20' + chr(92) + 'x09-' + chr(92) + 'x0D')} AS spaces, {_count('a-z')} AS lower_, {_count('A-Z')} AS upper_, {_count('0-9')} AS digits,
   {_count('#*$%&|<>')} AS n_symbols, {_count(chr(92) + 'x21-' + chr(92) + 'x2f' + chr(92) + 'x3a-' + chr(92) + 'x40' + chr(92) + 'x5b-' + chr(92) + 'x60' + chr(92) + 'x7b-' + chr(92) + 'x7e')} AS marks,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
 g5 AS (SELECT r, i, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT r, words, unnest(range(1, n_words - 3)) AS i FROM f WHERE n_words >= 5)),
 twice AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, gram) AS c FROM g5) WHERE c > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY r),
 b AS (SELECT f.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM f LEFT JOIN rep USING (r)),
-lists AS (SELECT * FROM (VALUES {_LISTS}, ('other', {_EVERY})) t(g, refs)),
+lists AS (SELECT * FROM (VALUES {_LISTS}, ('other', {EVERY})) t(g, refs)),
 h AS (SELECT r, g, base_failed, 'c' AS kind, unnest(range(0, 7)) AS pos, unnest([lower_, spaces, upper_, digits, n_symbols, marks - n_symbols, n_chars - lower_ - spaces - upper_ - digits - marks]) AS n FROM b
-  UNION ALL SELECT r, g, base_failed, 'w', unnest(range(0, len(refs))), unnest(list_transform(refs, lambda x: len(list_filter(words, lambda y: y = x)))) FROM b JOIN lists USING (g)
-  UNION ALL SELECT r, g, base_failed, 'w', -1, len(list_filter(words, lambda y: NOT list_contains({_EVERY}, y))) FROM b),
-ref AS (SELECT g, kind, pos, sum(n) AS q FROM h WHERE NOT base_failed GROUP BY ALL),
+  UNION ALL SELECT r, g, base_failed, 'w', unnest(range(0, len(refs))), unnest(list_transform(refs, lambda x: len(list_filter(bare, lambda y: y = x)))) FROM b JOIN lists USING (g)
+  UNION ALL SELECT r, g, base_failed, 'w', -1, len(list_filter(bare, lambda y: NOT list_contains({EVERY}, y))) FROM b),
+ref AS (SELECT g, kind, pos, sum(n) AS q FROM h WHERE NOT base_failed AND g <> 'other' GROUP BY ALL
+  UNION ALL SELECT 'other', kind, pos, sum(n) FROM h WHERE NOT base_failed AND (kind = 'c' OR pos = -1) GROUP BY ALL
+  UNION ALL SELECT 'other', 'w', pos, sum(len(list_filter(bare, lambda y: y = x))) FROM b, (SELECT unnest({EVERY}) AS x, unnest(range(0, len({EVERY}))) AS pos) WHERE NOT base_failed GROUP BY pos),
 p AS (SELECT r, kind, n / nullif(sum(n) OVER (PARTITION BY r, kind), 0) AS p, q / nullif(sum(q) OVER (PARTITION BY r, kind), 0) AS q FROM h JOIN ref USING (g, kind, pos)),
 js AS (SELECT r, kind, sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) AS dist FROM p WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY ALL),
 j AS (SELECT r, max(CASE WHEN kind = 'c' THEN dist END) AS cd, max(CASE WHEN kind = 'w' THEN dist END) AS wd FROM js GROUP BY r)
