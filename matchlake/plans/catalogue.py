@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchlake.plans import checks, episodes, marks, presence, relations, statistics, streams, timelines  # noqa: F401  (they register)
+from matchlake.plans import checks, episodes, marks, moments, presence, relations, statistics, streams, timelines, upkeep  # noqa: F401  (they register)
 from matchlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
