@@ -20,6 +20,6 @@ def query(name: str, sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = f"WITH {EV} {sql}" if sql.lstrip().startswith(",") else sql
+            ORACLES[name] = f"WITH RECURSIVE {EV} {sql}" if sql.lstrip().startswith(",") else sql
         return f
     return add
