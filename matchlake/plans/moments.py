@@ -154,7 +154,7 @@ def rides_without_bounces(spark, d):
 @query("axis_fraction", f""", c AS (SELECT game_id, team, avg(x) AS cx, avg(y) AS cy FROM ev WHERE kind = 'signup' GROUP BY ALL),
   a AS (SELECT own.game_id, own.team, own.cx, own.cy, (foe.cx - own.cx) * {ARENA_M[0]} AS ux, (foe.cy - own.cy) * {ARENA_M[1]} AS uy FROM c own JOIN c foe ON foe.game_id = own.game_id AND foe.team <> own.team),
   f AS (SELECT event_id, CASE WHEN ux * ux + uy * uy >= 1e-9 THEN ((x - cx) * {ARENA_M[0]} * ux + (y - cy) * {ARENA_M[1]} * uy) / (ux * ux + uy * uy) END AS f FROM ev LEFT JOIN a USING (game_id, team) WHERE kind = 'error')
-SELECT event_id, round(f, 5) AS along, round(greatest(0, least(1, f)), 5) AS clamped FROM f""")
+SELECT event_id, round(f, 5) AS along, CASE WHEN f IS NOT NULL THEN round(greatest(0, least(1, f)), 5) END AS clamped FROM f""")
 def axis_fraction(spark, d):
     """Where a position lies on the line from its team's own start (0) to the other's (1), and the same kept within it."""
     ev = samples(spark, d)
@@ -185,11 +185,11 @@ def plan_positions(spark, d):
 
 @query("observed_stretches", """, e AS (SELECT *, CASE WHEN lag(slot) OVER w IS DISTINCT FROM slot THEN 1 ELSE 0 END AS s FROM ev WINDOW w AS (PARTITION BY game_id ORDER BY t, event_id)),
   r AS (SELECT game_id, slot, min(t) AS t0, max(t) AS t1 FROM (SELECT *, sum(s) OVER (PARTITION BY game_id ORDER BY t, event_id) AS run FROM e) GROUP BY game_id, slot, run)
-SELECT game_id, slot, count(*) AS stretches, round(sum(t1 - t0), 4) AS seconds, (SELECT count(*) FROM ev u WHERE u.game_id = r.game_id AND u.slot = r.slot AND u.value > 200) AS doubtful FROM r WHERE t1 - t0 >= 120 GROUP BY game_id, slot""")
+SELECT game_id, slot, count(*) AS stretches, round(sum(t1 - t0), 3) AS seconds, (SELECT count(*) FROM ev u WHERE u.game_id = r.game_id AND u.slot = r.slot AND u.value > 200) AS doubtful FROM r WHERE t1 - t0 >= 120 GROUP BY game_id, slot""")
 def observed_stretches(spark, d):
     """How long each player is watched, stretches under two minutes left out, with how many doubtful positions."""
     ev = samples(spark, d)
     runs = S.label_runs(ev, ["game_id"], ["t", "event_id"], "slot").where("t1 - t0 >= 120")
-    watched = runs.groupBy(*TRACK).agg(F.count("*").alias("stretches"), F.round(F.sum(F.col("t1") - F.col("t0")), 4).alias("seconds"))
+    watched = runs.groupBy(*TRACK).agg(F.count("*").alias("stretches"), F.round(F.sum(F.col("t1") - F.col("t0")), 3).alias("seconds"))
     doubts = ev.where("value > 200").groupBy(*TRACK).agg(F.count("*").alias("doubtful"))
     return watched.join(doubts, TRACK, "left").fillna(0, ["doubtful"])
