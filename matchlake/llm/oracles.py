@@ -64,4 +64,48 @@ links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT doc_id AS node, doc_id AS r FROM d UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.node)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id FROM d LEFT JOIN sz USING (doc_id) JOIN (SELECT node AS doc_id, min(r) AS c FROM reach GROUP BY node) USING (doc_id)"""
 
-ORACLES = {"op3_set_relation_skipping": OP3, "op6_simhash_windows": OP6, "op7_distribution_divergence": OP7}
+OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, list_transform(range(0, 4), lambda i: CAST('0x' || substring(x, 8 * i + 1, 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+    ELSE '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c"""
+
+
+def _value(column: str) -> str:
+    """A value as the leaf's digest takes it."""
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen(CAST({column} AS VARCHAR)) || ':' || {column} END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_value(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: The unsigned crc32 of x, a byte after the other and a bit after the other; the polynomial is a fixed value.
+_CRC32 = """xor(list_reduce(list_transform(range(1, CAST(length(x) AS BIGINT) + 1), lambda i: CAST(ascii(substring(x, i, 1)) AS BIGINT)),
+  lambda c, b: list_reduce(range(0, 8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, b)), 4294967295), 4294967295)"""
+
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, *, coalesce(CAST(doc_id AS VARCHAR), '') AS x FROM documents),
+c AS (SELECT r, doc_id, lang, {_leaf("n_chars")} AS leaf, n_chars + CASE WHEN {_CRC32} % 7 = 0 THEN 1 ELSE 0 END AS told, source, text FROM d),
+leaves AS (SELECT r, doc_id, lang, leaf, {_leaf("told")} AS claimed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM c),
+lower_(lang, k, pos, n, h) AS (SELECT lang, 0, pos, n, leaf FROM leaves
+  UNION ALL SELECT lang, k + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM lower_ WHERE n > 1 GROUP BY lang, k, pos // 2, n),
+subs AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lower_ WHERE n = 1),
+upper_(k, pos, n, h) AS (SELECT 0, pos, n, subroot FROM subs UNION ALL SELECT k + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM upper_ WHERE n > 1 GROUP BY k, pos // 2, n),
+steps AS (SELECT leaves.r, l.k, (leaves.pos >> l.k) & 1 AS odd, coalesce(s.h, '') AS h FROM leaves JOIN (SELECT DISTINCT lang, k, n FROM lower_ WHERE n > 1) l ON leaves.lang IS NOT DISTINCT FROM l.lang
+    LEFT JOIN lower_ s ON s.lang IS NOT DISTINCT FROM leaves.lang AND s.k = l.k AND s.pos = xor(leaves.pos >> l.k, 1)
+  UNION ALL SELECT leaves.r, 1000 + u.k, (subs.pos >> u.k) & 1, coalesce(s.h, '') FROM leaves JOIN subs ON leaves.lang IS NOT DISTINCT FROM subs.lang, (SELECT DISTINCT k, n FROM upper_ WHERE n > 1) u
+    LEFT JOIN upper_ s ON s.k = u.k AND s.pos = xor(subs.pos >> u.k, 1)),
+path AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS nth FROM steps),
+fold(r, nth, h) AS (SELECT r, 0, claimed FROM leaves UNION ALL SELECT fold.r, fold.nth + 1, sha256(CASE WHEN odd = 1 THEN path.h || fold.h ELSE fold.h || path.h END) FROM fold JOIN path ON path.r = fold.r AND path.nth = fold.nth + 1),
+ends AS (SELECT r, arg_max(h, nth) AS folded_root FROM fold GROUP BY r),
+proofs AS (SELECT r, string_agg(h, '' ORDER BY nth) AS proof FROM path GROUP BY r),
+top AS (SELECT h AS root FROM upper_ WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subs ON leaves.lang IS NOT DISTINCT FROM subs.lang JOIN ends USING (r) LEFT JOIN proofs USING (r), top"""
+
+ORACLES = {"op11_split_offsets": OP11, "op12_proof_push": OP12, "op3_set_relation_skipping": OP3, "op6_simhash_windows": OP6, "op7_distribution_divergence": OP7}

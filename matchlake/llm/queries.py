@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import pii, secrets, toxicity
+from matchlake.llm import manifest, pii, secrets, toxicity
 from matchlake.llm.decontamination import find_leaks
 from matchlake.llm.extraction import extract_pages
+from matchlake.llm.fill_in_middle import fill_in_middle, restored
 from matchlake.llm.language_model import language_scores
 from matchlake.llm.ngram_join import similar_sets
 from matchlake.llm.oracles import ORACLES
 from matchlake.llm.packing import pack_documents
 from matchlake.llm.quality import quality_rules
 from matchlake.llm.sharding import shard_by_bytes
+from matchlake.llm.token_counts import count_tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -78,6 +80,24 @@ def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
                         _listed("spans").alias("spans"))
 
 
+def op11_split_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"), seed=1, plain_percent=10, spm_percent=20)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_proof_push(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's leaf is checked as it would be told, some with one character more than there is."""
+    told = F.col("n_chars") + (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 0).cast("int")
+    claimed = manifest.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), told, F.col("text"))
+    rows = manifest.merkle_manifest(_table(spark, sf_dir, "documents"), claimed=claimed)
+    rows = rows.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), manifest.folded(F.col("claimed"), F.col("proof")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), vocabulary="byte_bpe_50k.json", limit=512)
+
+
 QUERIES = {
     "op1_nonnegative_pu": op1_nonnegative_pu,
     "op2_sampled_splitters": op2_sampled_splitters,
@@ -89,6 +109,9 @@ QUERIES = {
     "op8_hierarchical_pitman_yor": op8_hierarchical_pitman_yor,
     "op9_ownership_frequency": op9_ownership_frequency,
     "op10_candidate_boosting": op10_candidate_boosting,
+    "op11_split_offsets": op11_split_offsets,
+    "op12_proof_push": op12_proof_push,
+    "op13_whole_tokens": op13_whole_tokens,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
