@@ -44,12 +44,12 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, by: list[str],
     return marked.join(spans, [*by, "__bucket"]).where(F.col(t).between(F.col(t0) - slack, F.col(t1) + slack)).drop("__bucket")
 
 
-def overlaps(a: DataFrame, b: DataFrame, by: list[str], width: float, a0: str = "a0", a1: str = "a1", b0: str = "b0", b1: str = "b1") -> DataFrame:
-    """Pairs of intervals that share time, with `shared`; each pair once, in the bucket of its later start."""
+def overlaps(a: DataFrame, b: DataFrame, by: list[str], width: float, a0: str = "a0", a1: str = "a1", b0: str = "b0", b1: str = "b1", touching: bool = False) -> DataFrame:
+    """Pairs of intervals that share time, or where `touching` a moment, with `shared`; each pair once, in the bucket of its later start."""
     left = a.withColumn("__bucket", F.explode(_buckets(F.col(a0), F.greatest(F.col(a0), F.col(a1)), width)))
     right = b.withColumn("__bucket", F.explode(_buckets(F.col(b0), F.greatest(F.col(b0), F.col(b1)), width)))
     shared = F.least(F.col(a1), F.col(b1)) - F.greatest(F.col(a0), F.col(b0))
-    return (left.join(right, [*by, "__bucket"]).where((shared > 0) & (F.col("__bucket") == F.floor(F.greatest(F.col(a0), F.col(b0)) / width)))
+    return (left.join(right, [*by, "__bucket"]).where(((shared >= 0) if touching else (shared > 0)) & (F.col("__bucket") == F.floor(F.greatest(F.col(a0), F.col(b0)) / width)))
             .withColumn("shared", shared).drop("__bucket"))
 
 

@@ -10,13 +10,13 @@ import numpy as np
 import pandas as pd
 
 
-def lives(rows: pd.DataFrame, kills: pd.DataFrame | None = None, gap: float = 0.35, respawn: float = 12.0, tail: float = 3.0, near: float = 2.0) -> pd.DataFrame:
+def lives(rows: pd.DataFrame, kills: pd.DataFrame | None = None, gap: float = 0.35, respawn: float = 12.0, tail: float = 3.0, near: float = 2.0, since: float = -np.inf, first: int = 0) -> pd.DataFrame:
     """Lives of one slot: game_id, slot, idx, t0, t1, ended ('death' or 'end').
 
     Runs of alive rows are split at gaps above `gap`. A run's end is a death where a kill of the slot is within `near`
     seconds (each kill confirms one end) or where nothing follows for `respawn` seconds; otherwise the life goes on. A
     run that starts less than `respawn` after a death is ignored. The last run ends in death only if rows go on for more
-    than `tail` seconds after it.
+    than `tail` seconds after it. `since` is a death before these rows, `first` the number of the next life.
     """
     columns = ["game_id", "slot", "idx", "t0", "t1", "ended"]
     rows = rows.sort_values("t", kind="stable")
@@ -36,7 +36,7 @@ def lives(rows: pd.DataFrame, kills: pd.DataFrame | None = None, gap: float = 0.
         return bool(close)
 
     found: list[tuple[float, float, str]] = []
-    start, died = None, -np.inf
+    start, died = None, since
     last_row = rows["t"].iat[-1]
     for i, (a, b) in enumerate(runs):
         if start is None:
@@ -50,7 +50,7 @@ def lives(rows: pd.DataFrame, kills: pd.DataFrame | None = None, gap: float = 0.
         elif following is None:
             found.append((start, b, "end"))
     game, slot = rows["game_id"].iat[0], rows["slot"].iat[0]
-    return pd.DataFrame([(game, slot, i, a, b, e) for i, (a, b, e) in enumerate(found)], columns=columns)
+    return pd.DataFrame([(game, slot, i, a, b, e) for i, (a, b, e) in enumerate(found, first)], columns=columns)
 
 
 def anchored_waves(exits: pd.DataFrame, span: float = 8.0, least: int = 2) -> pd.DataFrame:
