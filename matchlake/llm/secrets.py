@@ -29,7 +29,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _WIDE = {
     "vendor": re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{16,}|sk[_-](?:live|test|ant)?[_-]?[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,})"),
     "signed": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
-    "pem": re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    "pem": re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
     "word": re.compile(r"(?ai:bearer|auth|credential|private_?key|access_?key|client_?id|pwd|signature)[\"']?+\x20*+[:=]?+\x20*+[\"']?+([A-Za-z0-9+/_.=-]{16,})"),
     "mixed": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}"),
 }
