@@ -1,46 +1,17 @@
-"""Helpers the corpus operators share: the shared scratch folder, tables written to it, word patterns."""
+"""Helpers the corpus operators share: tables written to the shared folder, word patterns."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from matchlake.scratch import shared_dir, written
+
 #: The white space that separates words, as characters and as a regular expression.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]+"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="matchlake-")
-        context.setCheckpointDir(folder)
-        folder = context.getCheckpointDir() or folder
-    return folder.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there and a lost executor costs no recomputation.
-
-    The table is removed when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/matchlake-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["SPACE", "SPACE_CHARS", "in_fold", "shared_dir", "words_of", "written"]
 
 
 def words_of(text: Column) -> Column:

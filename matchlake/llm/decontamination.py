@@ -118,6 +118,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 def keep_unleaked(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of df, all columns as they are, that leak no benchmark item."""
-    leaks = written(find_leaks(df, benchmark, key, text, **options).select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash")).distinct(), "leaks")
-    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__hash"))
-    return df.join(_few(leaks, leaks.count()), same, "left_anti")
+    leaks = written(find_leaks(df, benchmark, key, text, **options).select(F.col("key").alias("its_key"), F.col("text_hash").alias("its_hash")).distinct(), "leaks")
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+    same = F.col("key").eqNullSafe(F.col("its_key")) & (F.col("text_hash") == F.col("its_hash"))
+    return rows.join(_few(leaks, leaks.count()), same, "left_anti").select("row.*")
