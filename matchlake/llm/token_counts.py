@@ -3,7 +3,8 @@
 The proof is made once a worker: every string of the vocabulary is encoded alone by the library's model, and those that
 give one token are kept. The merges see one pre-token at a time, so the proof holds in any text. Pre-tokens come from
 the library's own pre-tokenizer. Where its pattern never puts a space behind other than white space in one pre-token,
-a text is cut at such spaces, and the counts of short stretches are kept in a bounded cache.
+a text is cut at such spaces, and the counts of short stretches are kept in a bounded cache. A stretch of printable
+ASCII after at most one space is cut by the same pattern with ASCII classes, which says the same of such characters.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 300_000
+CACHED = 200_000  # stretches of each of two generations; the older one goes when the younger is full
 CACHED_CHARS = 48  # of the longest stretch that is kept
 #: A space behind something that no Unicode version and no engine takes for white space.
 _CUT = re.compile(" (?<=[^\\s\x1c-\x1f\x85\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff] )")
+#: Stretches whose pre-tokens the pattern below gives, and that pattern: byte-level vocabularies write them as they are, but for the space.
+_PLAIN = re.compile("Ġ?[!-~]+")
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|Ġ?[A-Za-z]+|Ġ?[0-9]+|Ġ?[^A-Za-z0-9Ġ]+")
 
 
 class JsonCounter:
@@ -43,6 +47,7 @@ class JsonCounter:
         self.proves = model["type"] == "BPE" and not model.get("dropout") and self.split is not None
         self.whole = self._proved(model.get("end_of_word_suffix") or "") if self.proves else frozenset()
         self.counts: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.cuts = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
     def _proved(self, suffix: str) -> frozenset[str]:
@@ -51,21 +56,31 @@ class JsonCounter:
 
     def _merged(self, stretch: str) -> int:
         """Tokens of a stretch whose pre-tokens do not depend on what is around it."""
-        whole = self.whole
-        return sum(1 if p in whole else len(self.tokenize(p)) for p, _ in self.split.pre_tokenize_str(stretch))
+        return self._counted([p for p, _ in self.split.pre_tokenize_str(stretch)])
+
+    def _counted(self, pre_tokens: list[str]) -> int:
+        whole, tokenize = self.whole, self.tokenize
+        return sum([1 if p in whole else len(tokenize(p)) for p in pre_tokens])
+
+    def _kept(self, stretch: str, space: bool) -> int:
+        """The count of a stretch without its space, from the older generation or counted now, and kept if it is short."""
+        name = f" {stretch}" if space else stretch
+        n = self.older.get(name)
+        if n is None:
+            written = f"Ġ{stretch}" if space else stretch
+            n = self._counted(_ASCII.findall(written)) if stretch.isascii() and _PLAIN.fullmatch(written) else self._merged(name)
+        if len(name) <= CACHED_CHARS:
+            if len(self.counts) >= CACHED:
+                self.older, self.counts = self.counts, {}
+            self.counts[name] = n
+        return n
 
     def _stretches(self, text: str) -> int:
-        counts, total = self.counts, 0
-        for i, part in enumerate(_CUT.split(text)):
-            stretch = f" {part}" if i else part
-            n = counts.get(stretch)
-            if n is None:
-                n = self._merged(stretch)
-                if len(stretch) <= CACHED_CHARS:
-                    if len(counts) >= CACHED:
-                        counts.clear()
-                    counts[stretch] = n
-            total += n
+        first, *rest = _CUT.split(text)
+        total = self._kept(first, False) if first else 0
+        for stretch in rest:
+            n = self.counts.get(f" {stretch}")
+            total += self._kept(stretch, True) if n is None else n
         return total
 
     def __call__(self, text: str) -> int:

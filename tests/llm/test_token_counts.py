@@ -20,7 +20,8 @@ FIXED = ["", " ", "  ", "a", " a", "a ", "  a  b   c    ", "don't we'll I'M", "x
 def random_texts():
     rng = random.Random(11)
     marks = ["a", "Be", "the", " ", "  ", "\n", "\t", "'s", "'", "1", "23", ".", "...", "é", "漢", " ", " ", "\x85", "\x1f", "᠎", "​", "<|endoftext|>", "_", "\U0001f600", "́", "http://", "\r\n"]
-    return ["".join(rng.choice(marks) for _ in range(rng.choice([3, 10, 60]))) for _ in range(3000)]
+    plain = ["".join(rng.choice("aB z'sltrevmd019.,!?_-~ ") for _ in range(rng.choice([3, 10, 60]))) for _ in range(3000)]
+    return plain + ["".join(rng.choice(marks) for _ in range(rng.choice([3, 10, 60]))) for _ in range(3000)]
 
 
 @pytest.fixture(scope="module", params=["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -62,7 +63,7 @@ def test_a_full_cache_is_emptied(monkeypatch):
     count = tc.JsonCounter(public_tokenizers.path("byte_bpe_50k.json"))
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     text = " ".join(f"w{i}" for i in range(500))
-    assert count(text) == len(library.encode(text, add_special_tokens=False).ids) and len(count.counts) <= 10
+    assert count(text) == len(library.encode(text, add_special_tokens=False).ids) and len(count.counts) <= 10 and len(count.older) <= 10
 
 
 def test_pieces():
