@@ -120,42 +120,42 @@ def kill_duels(focused: DataFrame, foci: DataFrame, fights: DataFrame, stretches
 
 
 def _largest_first(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of stretches by shared time, each stretch in one pair; ties by slots and starts."""
-    pairs = pairs.assign(less=-pairs["shared"]).sort_values(["less", "slot_a", "a0", "slot_b", "b0"], kind="stable")
+    """Pairs of stretches by shared time, each stretch in one pair; ties by slots and ends."""
+    pairs = pairs.assign(less=-pairs["shared"]).sort_values(["less", "slot_a", "a1", "slot_b", "b1"], kind="stable")
     used: set[tuple[int, float]] = set()
     keep = []
-    for sa, a0, sb, b0 in pairs[["slot_a", "a0", "slot_b", "b0"]].itertuples(index=False):
-        keep.append((sa, a0) not in used and (sb, b0) not in used)
+    for sa, a1, sb, b1 in pairs[["slot_a", "a1", "slot_b", "b1"]].itertuples(index=False):
+        keep.append((sa, a1) not in used and (sb, b1) not in used)
         if keep[-1]:
-            used |= {(sa, a0), (sb, b0)}
-    return pairs[keep][["game_id", "slot_a", "a0", "slot_b", "b0"]]
+            used |= {(sa, a1), (sb, b1)}
+    return pairs[keep][["game_id", "slot_a", "a1", "slot_b", "b1"]]
 
 
 def _unbusy(stretches: DataFrame, kills: DataFrame, limits: DuelLimits) -> DataFrame:
     """Stretches whose player neither kills around them nor dies otherwise than by their end."""
     parts = kills.select("game_id", "t", F.explode(F.array(F.struct(F.col("killer_slot").alias("slot"), F.lit(True).alias("kills")), F.struct(F.col("victim_slot").alias("slot"), F.lit(False).alias("kills")))).alias("p")).select("game_id", "p.slot", F.col("t").alias("at"), "p.kills")
-    spans = stretches.select(*TRACK, "t0", "death_t", (F.col("t0") - limits.context[0]).alias("a"), (F.col("t1") + limits.context[1]).alias("b"))
-    busy = points_in_intervals(parts, spans, TRACK, "at", "a", "b", 10 * limits.hit_gap).where("kills OR death_t IS NULL").select(*TRACK, "t0").distinct()
-    return stretches.join(busy, [*TRACK, "t0"], "left_anti")
+    spans = stretches.select(*TRACK, "t1", "death_t", (F.col("t0") - limits.context[0]).alias("a"), (F.col("t1") + limits.context[1]).alias("b"))
+    busy = points_in_intervals(parts, spans, TRACK, "at", "a", "b", 10 * limits.hit_gap).where("kills OR death_t IS NULL").select(*TRACK, "t1").distinct()
+    return stretches.join(busy, [*TRACK, "t1"], "left_anti")
 
 
 def hp_duels(stretches: DataFrame, windows: DataFrame, kills: DataFrame, lives: DataFrame, samples: DataFrame, games: DataFrame, limits: DuelLimits = DuelLimits(), fight_limits: FightLimits = FightLimits()) -> DataFrame:
     """Duels of which only the hit points tell; `windows` are those already found by kills, `games` has game_id and duration."""
     able = written(_unbusy(stretches.where(F.col("loss") >= limits.loss), kills, limits), "able-stretches")
     side = {s: able.where(team_of(F.col("slot")) == s.upper()).select("game_id", F.col("slot").alias(f"slot_{s}"), F.col("t0").alias(f"{s}0"), F.col("t1").alias(f"{s}1"), F.col("death_t").alias(f"{s}_death"), F.col("regen_t").alias(f"{s}_regen")) for s in ("a", "b")}
+    key = ["game_id", "slot_a", "a1", "slot_b", "b1"]  # a slot's stretches differ in their end
     lo, hi = F.greatest("a0", "b0"), F.least("a1", "b1")
     wide = side["a"].withColumn("from", F.col("a0") - limits.apart).withColumn("to", F.col("a1") + limits.apart)
     pairs = overlaps(wide, side["b"], ["game_id"], 10 * limits.hit_gap, "from", "to", "b0", "b1", touching=True).drop("from", "to")
     pairs = pairs.withColumn("shared", hi - lo).withColumn("t0", F.least("a0", "b0")).withColumn("reach", F.greatest("a1", "b1"))
     done = windows.select("game_id", "slot_a", "slot_b", F.col("t0").alias("w0"), F.col("t1").alias("w1"))
-    told = pairs.join(done, ["game_id", "slot_a", "slot_b"]).where((F.col("t0") - 1.0 <= F.col("w1")) & (F.col("w0") <= F.col("reach") + 1.0)).select("game_id", "slot_a", "a0", "slot_b", "b0").distinct()
-    pairs = pairs.join(told, ["game_id", "slot_a", "a0", "slot_b", "b0"], "left_anti")
+    told = pairs.join(done, ["game_id", "slot_a", "slot_b"]).where((F.col("t0") - 1.0 <= F.col("w1")) & (F.col("w0") <= F.col("reach") + 1.0)).select(*key).distinct()
+    pairs = pairs.join(told, key, "left_anti")
     pairs = written(pairs, "duel-pairs")
     # who is near in the middle
-    asks = pairs.select("game_id", "slot_a", "a0", "slot_b", "b0", ((lo + hi) / 2).alias("t"))
+    asks = pairs.select(*key, ((lo + hi) / 2).alias("t"))
     each = C.positions(asks.withColumn("slot", C.slots()), samples, fight_limits.position)
-    living = C.alive_only(asks.withColumn("slot", C.slots()), lives).select("game_id", "slot_a", "a0", "slot_b", "b0", "slot", F.lit(True).alias("lives"))
-    key = ["game_id", "slot_a", "a0", "slot_b", "b0"]
+    living = C.alive_only(asks.withColumn("slot", C.slots()), lives).select(*key, "slot", F.lit(True).alias("lives"))
     seen = each.join(living, [*key, "slot"], "left").groupBy(*key).agg(F.collect_list(F.struct("slot", "x", "y", "lives")).alias("players"))
 
     def spot(slot: str) -> Column:
@@ -179,9 +179,9 @@ def hp_duels(stretches: DataFrame, windows: DataFrame, kills: DataFrame, lives:
     close = within(ended, own, ["game_id", "victim_slot"], "end", "t", -limits.match[0], limits.match[1]).groupBy("game_id", "victim_slot", "end").agg(F.min_by(F.struct("killer_slot", "t"), F.struct(F.abs(F.col("t") - F.col("end")), "t")).alias("by"))
     pairs = pairs.join(close, ["game_id", "victim_slot", "end"], "left").where("by IS NULL OR NOT by.killer_slot IN (slot_a, slot_b)")
     pairs = written(pairs, "duel-candidates")
-    spans = C.islands(pairs, ["game_id"], "t0", "reach", ["slot_a", "a0", "slot_b", "b0"])
-    plain = spans.select(F.col("game_id").cast("long").alias("game_id"), "island", "shared", F.col("slot_a").cast("int").alias("slot_a"), "a0", F.col("slot_b").cast("int").alias("slot_b"), "b0")
-    chosen = plain.groupBy("game_id", "island").applyInPandas(_largest_first, "game_id long, slot_a int, a0 double, slot_b int, b0 double")
+    spans = C.islands(pairs, ["game_id"], "t0", "reach", key[1:])
+    plain = spans.select(F.col("game_id").cast("long").alias("game_id"), "island", "shared", F.col("slot_a").cast("int").alias("slot_a"), "a1", F.col("slot_b").cast("int").alias("slot_b"), "b1")
+    chosen = plain.groupBy("game_id", "island").applyInPandas(_largest_first, "game_id long, slot_a int, a1 double, slot_b int, b1 double")
     pairs = pairs.join(chosen, key).join(games.select("game_id", "duration"), "game_id")
     ta, tb = F.coalesce("a_regen", F.col("a1") + limits.delay), F.coalesce("b_regen", F.col("b1") + limits.delay)
     t1 = F.when(F.col("dead").isNotNull(), F.col("end")).otherwise(F.greatest("reach", F.least(ta, tb, F.col("duration") - limits.blank)))

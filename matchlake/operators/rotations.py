@@ -38,6 +38,10 @@ class RotationLimits:
     merge: float = 6.0
     ignore: float = 2.0
     hold_owner: float = 30.0
+    old_owner: float = 3.0  # before the old point ends, its holder is read
+    first_owner: float = 10.0  # after the change, the new point's holder is read
+    second_owner: float = 20.0  # and again, which decides
+    last_owner: float = 5.0  # after the window, for the last time
 
 
 def switches(active: DataFrame, limits: RotationLimits = RotationLimits(), fixed: DataFrame | None = None) -> DataFrame:
@@ -130,7 +134,7 @@ def team_flows(changes: DataFrame, games: DataFrame, lives: DataFrame, samples:
 
 
 def _holders(changes: DataFrame, owners: DataFrame, limits: RotationLimits) -> DataFrame:
-    """By change: old_owner (3 s before the old point ends), new_owner_after, owner_10, owner_20 and owner_first of the new point.
+    """By change: old_owner, and of the new point new_owner_after, owner_10, owner_20 (by the limits' first and second moment) and owner_first.
 
     Only readings whose middle lies in the point's stretch count.
     """
@@ -144,8 +148,8 @@ def _holders(changes: DataFrame, owners: DataFrame, limits: RotationLimits) -> D
         return F.max(F.when((F.col("which") == which) & (F.col("t0") - 1e-6 <= moment) & (moment < F.col("t1")), F.col("holder")))
 
     first = F.when((F.col("which") == "new") & F.col("holder").isNotNull() & (F.col("t0") >= F.col("at") - 1e-6), F.col("t0"))
-    return line.groupBy(*KEYS).agg(at("old", F.col("old.t1") - 3).alias("old_owner"), at("new", F.least(F.col("new.t1"), F.col("at") + limits.after + 5)).alias("new_owner_after"), at("new", F.col("at") + 10).alias("owner_10"),
-                                   at("new", F.col("at") + 20).alias("owner_20"), F.min_by("holder", first).alias("owner_first"))
+    return line.groupBy(*KEYS).agg(at("old", F.col("old.t1") - limits.old_owner).alias("old_owner"), at("new", F.least(F.col("new.t1"), F.col("at") + limits.after + limits.last_owner)).alias("new_owner_after"), at("new", F.col("at") + limits.first_owner).alias("owner_10"),
+                                   at("new", F.col("at") + limits.second_owner).alias("owner_20"), F.min_by("holder", first).alias("owner_first"))
 
 
 def find_rotations(active: DataFrame, owners: DataFrame, lives: DataFrame, samples: DataFrame, games: DataFrame, limits: RotationLimits = RotationLimits(), fixed: DataFrame | None = None) -> DataFrame:

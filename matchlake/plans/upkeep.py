@@ -6,8 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchlake.operators import match as M
+from matchlake.operators.rotations import RotationLimits
+from matchlake.operators.rotations import leave_phase as phase_of
+from matchlake.operators.waves import classify
 from matchlake.plans.registry import query
 from matchlake.plans.statistics import _KILLS, kills_of
+from matchlake.scratch import fresh_path
 from matchlake.sources import sinks
 from matchlake.sources.match_view import samples
 from matchlake.sources.tables import table
@@ -46,10 +50,11 @@ _WAVES = """SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 9 = 0 THE
 
 
 def _waves(spark, d):
-    """Outcome of a wave: a capture first, then who held the point, then how the fight went and what it cost."""
-    first = F.col("o_custkey") % 2 == 0
-    outcome = (F.when(F.col("o_totalprice") > 250_000, F.when(first, "initial").otherwise("success")).when(F.col("o_custkey") % 5 == 0, "defense").when(F.col("o_orderstatus") == "P", "no_contact")
-               .when(F.col("o_custkey") % 7 == 0, "duel").when(F.col("o_orderstatus") == "F", "won_no_capture").when(F.col("o_totalprice") < 100_000, F.when(first, "initial_lost").otherwise("fail")).otherwise("undecided"))
+    """Waves of a team A, told by orders."""
+    neutral = F.col("o_custkey") % 2 == 0
+    holder = F.when(F.col("o_custkey") % 5 == 0, "A").when(~neutral, "B")
+    kind = F.when(F.col("o_orderstatus") == "P", F.lit(None)).when(F.col("o_custkey") % 7 == 0, "duel").otherwise("teamfight")
+    outcome = classify(F.lit("A"), holder, F.col("o_totalprice") > 250_000, F.when(~neutral, "B"), kind, F.when(F.col("o_orderstatus") == "F", "A"), F.when(F.col("o_totalprice") < 100_000, 2).otherwise(1))
     return table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 9 == 0, "ko").alias("verdict"), (F.col("o_orderkey") % 4 > 0).alias("has_wave"), outcome.alias("outcome"))
 
 
@@ -71,7 +76,7 @@ def wave_tally(spark, d):
 def leave_phase(spark, d):
     """When a team leaves the old point, seen from the change."""
     off = F.datediff("o_orderdate", "l_shipdate")
-    phase = F.when(F.col("l_returnflag") == "N", "never").when(F.col("l_linestatus") == "O", "stays").when(off < -60, "before").when(off <= -20, "at_change").otherwise("after")
+    phase = phase_of(F.col("l_returnflag") != "N", F.col("l_linestatus") == "O", off, RotationLimits(early=60, late=-20))
     return table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", phase.alias("phase"))
 
 
@@ -172,11 +177,10 @@ def verdicts_kept(spark, d):
 @query("replaced_games", """, r AS (SELECT 1) SELECT game_id, slot, count(*) AS n, CAST(sum(CASE WHEN game_id % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS revision FROM ev WHERE game_id % 3 > 0 OR alive GROUP BY ALL""")
 def replaced_games(spark, d):
     """All rows of a game that was computed again give way to its new ones; other games stay."""
-    ev = samples(spark, d).select("game_id", "slot", "alive")
-    redone = ev.where("game_id % 3 = 0 AND alive").withColumn("rev", F.lit(2))
-    games = redone.select("game_id").distinct()
-    kept = ev.withColumn("rev", F.lit(1)).join(games, "game_id", "left_anti")
-    return kept.unionByName(redone).groupBy("game_id", "slot").agg(F.count("*").alias("n"), F.sum("rev").alias("revision"))
+    ev, path = samples(spark, d).select("slot", "alive", "game_id"), fresh_path(spark, "replaced")
+    sinks.replace_games(ev.withColumn("rev", F.lit(1)).select("slot", "rev", "game_id"), path)
+    sinks.replace_games(ev.where("game_id % 3 = 0 AND alive").withColumn("rev", F.lit(2)).select("slot", "rev", "game_id"), path)
+    return spark.read.parquet(path).groupBy("game_id", "slot").agg(F.count("*").alias("n"), F.sum("rev").alias("revision"))
 
 
 @query("players_of_followed", """, g AS (SELECT game_id, team, count(DISTINCT slot) AS present, count(*) FILTER (alive) AS rows_alive FROM ev GROUP BY ALL) SELECT team, present, count(*) AS games, CAST(sum(rows_alive) AS BIGINT) AS seen FROM g GROUP BY ALL""")

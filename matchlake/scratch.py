@@ -27,10 +27,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder where nothing is yet; what comes to be there is removed when the application ends."""
+    path = f"{shared_dir(spark)}/matchlake-{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder, removed when the application ends: lineage ends there, and what is used twice is made once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/matchlake-{label}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

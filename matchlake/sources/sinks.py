@@ -12,17 +12,27 @@ def replace_games(df: DataFrame, path: str, key: str = "game_id") -> None:
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows of both by key, the one of the highest `order` winning; on a tie the change."""
-    both = current.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), F.col("__new").desc())
-    return both.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth", "__new")
+    """Rows of both by key, the one of the highest `order` winning, null the lowest; on a tie the change. Columns of any name stay."""
+    both = current.select("*", F.lit(0).alias(new := _unused("new", current, changes))).unionByName(changes.select("*", F.lit(1).alias(new)), allowMissingColumns=True)
+    rows = both.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(order).alias("o"), F.col(new).alias("n"), F.struct(*[c for c in both.columns if c != new]).alias("row"))
+    w = Window.partitionBy(*[f"k{i}" for i in range(len(keys))]).orderBy(F.col("o").desc_nulls_last(), F.col("n").desc())
+    return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("row.*")
 
 
 def insert_or_ignore(current: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """current, and of the rows whose keys it lacks the first of each key."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    fresh = rows.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
-    return current.unionByName(fresh.join(current.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    """current, and of the rows whose keys it lacks the first of each key. Columns of any name stay."""
+    held = rows.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(order).alias("o"), F.struct(*rows.columns).alias("row"))
+    w = Window.partitionBy(*[f"k{i}" for i in range(len(keys))]).orderBy("o")
+    first = held.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("row.*")
+    return current.unionByName(first.join(current.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+
+
+def _unused(name: str, *frames: DataFrame) -> str:
+    """A name that no column of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def game_uid(name: Column, duration: Column, start: Column) -> Column:

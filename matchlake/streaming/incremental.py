@@ -6,7 +6,6 @@ there and returns what it wrote.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from matchlake.scratch import shared_dir
+
 
 def events_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream with a timestamp column `at`."""
@@ -56,8 +57,7 @@ def state_changes(events: DataFrame) -> DataFrame:
 def drain(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
     """Run a stream over all input there is; the last row of each key, by batch."""
     spark = stream.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="matchlake-")
-    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     wrote = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
              .foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{at}/out")).start())
     wrote.awaitTermination()
