@@ -62,10 +62,16 @@ def positions(asks: DataFrame, samples: DataFrame, gap: float) -> DataFrame:
     return asof(asks, spots, ["game_id", "slot"], "t", ["x", "y"], gap).drop("found_t")
 
 
-def alive_only(asks: DataFrame, lives: DataFrame) -> DataFrame:
-    """The asks (game_id, slot, t, ...) at which the slot's last life, both ends included, is not over."""
+def with_living(asks: DataFrame, lives: DataFrame) -> DataFrame:
+    """asks (game_id, slot, t, ...) with `living`: whether the slot's last life, both ends included, is not over."""
     begun = lives.select("game_id", "slot", (F.col("t0") - 1e-6).alias("t"), F.col("t1").alias("life_end"))
-    return asof(asks, begun, ["game_id", "slot"], "t", ["life_end"], direction="backward").where("t <= life_end + 1e-6").drop("found_t", "life_end")
+    held = asof(asks, begun, ["game_id", "slot"], "t", ["life_end"], direction="backward")
+    return held.withColumn("living", F.coalesce(F.col("t") <= F.col("life_end") + 1e-6, F.lit(False))).drop("found_t", "life_end")
+
+
+def alive_only(asks: DataFrame, lives: DataFrame) -> DataFrame:
+    """The asks (game_id, slot, t, ...) at which the slot lives."""
+    return with_living(asks, lives).where("living").drop("living")
 
 
 def players_at(asks: DataFrame, lives: DataFrame, samples: DataFrame, gap: float = 1.5) -> DataFrame:

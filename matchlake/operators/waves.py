@@ -185,6 +185,12 @@ def described_waves(lives: DataFrame, samples: DataFrame, kills: DataFrame, zone
     return written(rows.join(motions(waves, samples, limits, fight_limits.position), WAVE), "described-waves")
 
 
+def point_tables(instances: DataFrame, owners: DataFrame, limits: WaveLimits = WaveLimits()) -> tuple[DataFrame, DataFrame]:
+    """instance_owners and the captures of it, each written once."""
+    line = written(instance_owners(instances, owners, limits), "instance-owners")
+    return line, written(C.captures_of(line, ["game_id", "inst"], limits.adjacent), "captures")
+
+
 def classify(team: Column, holder: Column, taken: Column, before: Column, kind: Column, won_by: Column, lost: Column, fail_dead: int = 2) -> Column:
     """What became of a wave: a capture first, then who held the point, then how the fight went and what it cost.
 
@@ -286,8 +292,8 @@ def find_retakes(waves: DataFrame, instances: DataFrame, owners: DataFrame, live
     follows are null where there is none. Members that live `retreat_s` after the fight survive. defenders are the
     opponents alive at contact, with their distance to the point and their fate: dead in the fight, back or there.
     """
-    line = written(instance_owners(instances, owners, limits), "instance-owners")
-    taken = written(allotted_captures(waves, C.captures_of(line, ["game_id", "inst"], limits.adjacent), instances, limits), "allotted")
+    line, captures = point_tables(instances, owners, limits)
+    taken = written(allotted_captures(waves, captures, instances, limits), "allotted")
     rows = written(_aims(waves, taken, instances, line, samples, limits, fight_limits.position), "aims")
     captured = F.col("cap_t").isNotNull()
     then = _held_at(rows.select(*WAVE, "inst", F.col("t_ref").alias("t")), line, "then")

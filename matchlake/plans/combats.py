@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlake.operators import combat as C
 from matchlake.operators import rotations as R
 from matchlake.operators import rotations as R
 from matchlake.operators import waves as W
 from matchlake.operators.combat import FightLimits
 from matchlake.operators.duels import DuelLimits, find_duels
+from matchlake.operators.scores import ScoreLimits, score_kills
 from matchlake.plans.registry import query
 from matchlake.plans.statistics import _KILLS, kills_of
 from matchlake.scratch import written
@@ -318,3 +320,39 @@ def rotations(spark, d):
     return rows.select("game_id", "switch", "team", "t", "point", "point_to", "outcome", "was_on_old", "stays_on_old", "leave_offset", "leave_phase", "alive_at_leave", "concentrate_offset", "already_on_new", "first_arrival", "second_arrival",
                        listed("arrivals", "slot", "t").alias("arrivals"), listed("starters", "slot", "leave_t").alias("starters"), listed("deaths_en_route", "slot", "t").alias("deaths"), shots.alias("shots"), "old_owner", "new_owner_after", "owner_10", "owner_20", "owner_first",
                        "first_team", "winner", "value").withColumn("game_id", F.col("game_id").cast("long"))
+
+
+SCORE = ScoreLimits(trade=900.0, before=300.0, after=450.0, window=3600.0, lookback=1800.0, step=300.0)
+_SCORES = f"""{_WAVES_SQL}, {_OWNERS}, oi AS (SELECT game_id, inst, t0, t1, owner FROM ow JOIN inst USING (point)),
+  {_timeline("tl0", "oi", "game_id, inst", 120, 3600)},
+  tl AS (SELECT tl0.* FROM tl0 JOIN (SELECT DISTINCT game_id, inst FROM tl0 WHERE holder IS NOT NULL) USING (game_id, inst)),
+  cp0 AS (SELECT *, last_value(holder IGNORE NULLS) OVER (PARTITION BY game_id, inst ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, t0 - lag(t1) OVER (PARTITION BY game_id, inst ORDER BY t0, t1) AS gap FROM tl),
+  cp AS (SELECT game_id, inst, t0 AS t, holder AS team FROM cp0 WHERE holder IS NOT NULL AND (before <> holder OR (before IS NULL AND gap <= 600))),
+  d0 AS (SELECT kf.*, l.t1 IS NOT NULL AS matched, EXISTS (SELECT 1 FROM lives k WHERE l.t1 IS NOT NULL AND k.game_id = kf.game_id AND k.slot = ks AND k.died AND abs(k.t1 - kf.t) <= 900) AS trade, ks <= 4 AS ka, CASE WHEN ks <= 4 THEN 'A' ELSE 'B' END AS kteam
+    FROM kf LEFT JOIN lives l ON l.game_id = kf.game_id AND l.slot = vs AND l.died AND l.t1 = kf.t),
+  mo_ AS (SELECT row_number() OVER (ORDER BY game_id, nth, w) AS a, * FROM (SELECT game_id, nth, ks, vs, ka, x AS kx, y AS ky, w, t + dt AS t FROM d0, (SELECT unnest(['before', 'after', 's0', 's1', 's2', 's3', 's4', 's5', 's6']) AS w, unnest([-300.0, 450.0, -1800.0, -1500.0, -1200.0, -900.0, -600.0, -300.0, 0.0]) AS dt))),
+  {_near("nm", "mo_", "a")},
+  ne AS (SELECT mo_.a, coalesce(v.p.x, kx) AS vx, CASE WHEN v.p.x IS NOT NULL THEN v.p.y ELSE ky END AS vy FROM mo_ LEFT JOIN nm_p v ON v.a = mo_.a AND v.slot = vs),
+  nn AS (SELECT mo_.game_id, nth, w, count(*) FILTER ((nm.slot <= 4) = ka AND nm.slot <> ks AND {_metres('nm.x', 'nm.y', 'kx', 'ky')} <= 5) AS kn, count(*) FILTER ((nm.slot <= 4) <> ka AND nm.slot <> vs AND {_metres('nm.x', 'nm.y', 'kx', 'ky')} <= 5) AS vn,
+      count(*) FILTER ((nm.slot <= 4) = ka AND {_metres('nm.x', 'nm.y', 'kx', 'ky')} <= 5) AS kall, count(*) FILTER ((nm.slot <= 4) = ka AND {_metres('nm.x', 'nm.y', 'vx', 'vy')} <= 5) AS en FROM mo_ JOIN ne USING (a) LEFT JOIN nm ON nm.a = mo_.a GROUP BY ALL),
+  nu AS (SELECT game_id, nth, 1 + max(kn) FILTER (w = 'before') AS n0, 1 + max(vn) FILTER (w = 'before') AS m0, max(vn) FILTER (w = 'after') AS own_after, max(kall) FILTER (w = 'after') AS their_after, max(en) FILTER (w LIKE 's%') AS pressure FROM nn GROUP BY ALL),
+  np AS (SELECT d0.game_id, nth, d0.t, kteam, inst.inst, least(d0.t + 3600, (SELECT max(t1) FROM tl WHERE tl.game_id = d0.game_id AND tl.inst = inst.inst) - 0.01, 86400 - 0.01) AS till FROM d0, inst WHERE d0.x IS NOT NULL AND {_FAR.format(x='d0.x', y='d0.y')} <= 7),
+  pt AS (SELECT DISTINCT game_id, nth FROM np WHERE till IS NOT NULL AND (EXISTS (SELECT 1 FROM cp WHERE cp.game_id = np.game_id AND cp.inst = np.inst AND cp.team = kteam AND cp.t BETWEEN np.t AND np.t + 3600)
+    OR (till > np.t AND EXISTS (SELECT 1 FROM tl WHERE tl.game_id = np.game_id AND tl.inst = np.inst AND holder = kteam AND np.t >= t0 - 1e-6 AND np.t < t1) AND EXISTS (SELECT 1 FROM tl WHERE tl.game_id = np.game_id AND tl.inst = np.inst AND holder = kteam AND till >= t0 - 1e-6 AND till < t1)))),
+  wf AS (SELECT DISTINCT game_id, CAST(round(t_contact * 1000) AS BIGINT) AS ms FROM wv WHERE t_contact IS NOT NULL),
+  s0 AS (SELECT d0.*, n0, m0, matched AND n0 - CAST(trade AS INT) > m0 - 1 AS sup, wf.ms IS NOT NULL AS wave, pt.nth IS NOT NULL AS point, matched AND pressure >= 2 AND own_after > their_after AND kind = 'teamfight' AND CASE WHEN vs <= 4 THEN lb - la ELSE la - lb END >= 1 AS shield
+    FROM d0 JOIN nu USING (game_id, nth) JOIN fights USING (game_id, run) LEFT JOIN wf ON wf.game_id = d0.game_id AND wf.ms = CAST(round(d0.t * 1000) AS BIGINT) LEFT JOIN pt ON pt.game_id = d0.game_id AND pt.nth = d0.nth)
+SELECT CAST(game_id AS BIGINT) AS game_id, round(t, 3) AS t, ks AS killer_slot, vs AS victim_slot, CAST(least(3, 1 + CAST(sup AS INT) + CAST(wave AS INT) + CAST(point AND sup AS INT)) AS DOUBLE) AS impact, CAST(CASE WHEN matched AND trade THEN -0.5 ELSE -1 END + CASE WHEN shield THEN 2 ELSE 0 END AS DOUBLE) AS death_impact,
+  array_to_string(list_filter(['threat', CASE WHEN NOT matched THEN 'unmatched' END, CASE WHEN sup THEN 'superiority' END, CASE WHEN matched AND trade THEN 'trade' END, CASE WHEN wave THEN 'first_of_wave' END, CASE WHEN point AND sup THEN 'point' END, CASE WHEN point AND NOT sup THEN 'point_without_superiority' END, CASE WHEN shield THEN 'shield' END], lambda r: r IS NOT NULL), ',') AS reasons FROM s0"""
+
+
+@query("kill_scores", _SCORES)
+def kill_scores(spark, d):
+    """What each kill and each death is worth, and why."""
+    f = match_frames(spark, d)
+    p = point_frames(f)
+    focused, foci, fights = C.fight_tables(f["kills"], f["lives"], f["samples"], FIGHT)
+    found = W.contacts(W.find_waves(f["lives"], f["samples"], p["zones"], f["games"], WAVE), focused, fights, WAVE)
+    line, captures = W.point_tables(p["instances"], p["owners"], WAVE)
+    rows = score_kills(focused, fights, found, line, captures, p["instances"], f["lives"], f["samples"], SCORE, FIGHT)
+    return rows.withColumn("reasons", F.array_join("reasons", ",")).withColumn("game_id", F.col("game_id").cast("long"))

@@ -131,14 +131,15 @@ def player_stats(tables: Tables, game_id: int) -> DataFrame:
     return every.withColumn("kd", ratio(F.col("kills"), F.col("deaths"))).orderBy("slot")
 
 
-def game_summary(tables: Tables, game_id: int) -> DataFrame:
-    """Totals of both teams: strict sums, weighted speed, wave tally and changes of the active point."""
-    stats = tables["player_game_stats"].where(F.col("game_id") == game_id).withColumn("team", M.team_of(F.col("slot")))
+def game_summary(tables: Tables, game_id: int | None = None) -> DataFrame:
+    """Totals of both teams of a game, or of every game: strict sums, weighted speed, wave tally and changes of the active point."""
+    own = F.lit(True) if game_id is None else F.col("game_id") == game_id
+    stats = tables["player_game_stats"].where(own).withColumn("team", M.team_of(F.col("slot")))
     totals = stats.groupBy("game_id", "team").agg(
         F.sum("kills").alias("kills"), F.sum("deaths").alias("deaths"), strict_sum(F.col("alive_s")).alias("alive_s"), strict_sum(F.col("dist_m")).alias("dist_m"),
         F.round(weighted_mean(F.col("v_mean"), F.col("alive_s")), 3).alias("v_mean"), strict_sum(F.col("gadget_possible")).alias("gadget_possible"), F.sum("gadget_uses").alias("gadget_uses"))
-    waves = M.wave_tally(_waves(tables["episodes"].where(F.col("game_id") == game_id)), ["game_id", "team"])
-    return totals.join(waves, ["game_id", "team"], "left").join(M.point_changes(tables["point_active"]), "game_id", "left").orderBy("team")
+    waves = M.wave_tally(_waves(tables["episodes"].where(own)), ["game_id", "team"])
+    return totals.join(waves, ["game_id", "team"], "left").join(M.point_changes(tables["point_active"]), "game_id", "left").orderBy("game_id", "team")
 
 
 def _waves(rows: DataFrame) -> DataFrame:
