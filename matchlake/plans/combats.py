@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.operators import combat as C
+from matchlake.operators import ratings as G
 from matchlake.operators import rotations as R
 from matchlake.operators import rotations as R
 from matchlake.operators import waves as W
@@ -356,3 +357,74 @@ def kill_scores(spark, d):
     line, captures = W.point_tables(p["instances"], p["owners"], WAVE)
     rows = score_kills(focused, fights, found, line, captures, p["instances"], f["lives"], f["samples"], SCORE, FIGHT)
     return rows.withColumn("reasons", F.array_join("reasons", ",")).withColumn("game_id", F.col("game_id").cast("long"))
+
+
+RATING = G.RatingLimits(step=1800.0, position=3600.0, assist_m=8.0, assist_s=5400.0, front_lead=1800.0, aggro_m=16.0, closing_s=1800.0, help=3.0, episode=3600.0, survive=7200.0, avenge=1800.0, minute=3600.0)
+
+
+def revenge_links(f: dict[str, DataFrame]) -> DataFrame:
+    """Kills of a player who killed a team-mate of the killer within the hour before, with the latest of those."""
+    lost = f["kills"].select("game_id", F.col("killer_slot").alias("victim_slot"), F.col("victim_slot").alias("other_slot"), F.col("t").alias("t1"))
+    met = f["kills"].join(lost, ["game_id", "victim_slot"]).where((F.col("t1") <= F.col("t")) & (F.col("t1") >= F.col("t") - 3600) & (F.col("other_slot") != F.col("killer_slot")))
+    last = met.groupBy("game_id", "t", "victim_slot", "killer_slot").agg(F.max(F.struct("t1", "other_slot")).alias("m"))
+    return last.select("game_id", "t", "victim_slot", F.lit("revenge").alias("kind"), F.col("m.other_slot").alias("other_slot"), (F.col("t") - F.col("m.t1")).alias("dt"))
+
+
+_PS = "game_id, slot"
+_RATINGS = f"""{_SCORES[:_SCORES.rindex('SELECT CAST(game_id AS BIGINT) AS game_id, round(t, 3)')]},
+  sc AS (SELECT game_id, ks, vs, least(3, 1 + CAST(sup AS INT) + CAST(wave AS INT) + CAST(point AND sup AS INT)) AS impact, CASE WHEN matched AND trade THEN -0.5 ELSE -1 END + CASE WHEN shield THEN 2 ELSE 0 END AS death_impact FROM s0),
+  gs AS (SELECT game_id, unnest(range(0, 49)) AS i, unnest(range(0, 49)) * 1800.0 AS t FROM (SELECT DISTINCT game_id FROM ev)), {_near("ng", "gs", "i")},
+  gp AS (SELECT game_id, i, slot, slot <= 4 AS a, x, y FROM ng WHERE x IS NOT NULL),
+  pl AS (SELECT gp.*, CASE WHEN a THEN ax ELSE bx END AS ox, CASE WHEN a THEN ay ELSE by_ END AS oy, CASE WHEN a THEN bx ELSE ax END AS tx, CASE WHEN a THEN by_ ELSE ay END AS ty FROM gp JOIN ce USING (game_id) WHERE NOT CASE WHEN a THEN x <= 0.3 + 1 / 31.0 ELSE x >= 0.7 - 1 / 31.0 END),
+  act AS (SELECT game_id, CASE WHEN round(arg_min(x, t) * 100) % 2 = 0 THEN 'P' ELSE 'Q' END AS point, floor(t / 21600) * 21600.0 AS t0, floor(t / 21600) * 21600.0 + 21600 AS t1 FROM ev WHERE kind = 'signup' GROUP BY game_id, floor(t / 21600)),
+  pv AS (SELECT {_PS}, count(*) / 49 AS presence, CASE WHEN bool_or(has) THEN avg(CASE WHEN near THEN 1.0 ELSE 0.0 END) END AS objective, avg(f) AS space, avg(d) AS cohesion FROM (SELECT pl.*, pl.game_id IN (SELECT game_id FROM act) AS has, EXISTS (SELECT 1 FROM act JOIN inst USING (point) WHERE act.game_id = pl.game_id AND act.t0 <= pl.i * 1800 AND pl.i * 1800 < act.t1 AND {_FAR.format(x='pl.x', y='pl.y')} <= 7) AS near,
+      greatest(0, least(1, ((x - ox) * 31.0 * (tx - ox) * 31.0 + (y - oy) * 16.5 * (ty - oy) * 16.5) / (pow((tx - ox) * 31.0, 2) + pow((ty - oy) * 16.5, 2)))) AS f, (SELECT min({_metres('m.x', 'm.y', 'pl.x', 'pl.y')}) FROM gp m WHERE m.game_id = pl.game_id AND m.i = pl.i AND m.a = pl.a AND m.slot <> pl.slot) AS d FROM pl) GROUP BY ALL),
+  op AS (SELECT game_id, run, arg_min(t, nth) AS t, arg_min(ks, nth) AS ks FROM kf GROUP BY ALL), oi2 AS (SELECT *, CAST(greatest(0, least(48, round_even((t - 1800) / 1800, 0))) AS BIGINT) AS i FROM op),
+  fr AS (SELECT game_id, run, a, arg_min(slot, (d, slot)) AS slot FROM (SELECT oi2.game_id, run, gp.a, gp.slot, min({_metres('e.x', 'e.y', 'gp.x', 'gp.y')}) AS d FROM oi2 JOIN gp ON gp.game_id = oi2.game_id AND gp.i = oi2.i JOIN gp e ON e.game_id = gp.game_id AND e.i = gp.i AND e.a <> gp.a GROUP BY ALL) WHERE d <= 16 GROUP BY ALL),
+  lk AS (SELECT k2.game_id, k2.t, k2.vs, k2.ks, max({{'t1': k1.t, 'o': k1.vs}}) AS m FROM k0 k2 JOIN k0 k1 ON k1.game_id = k2.game_id AND k1.ks = k2.vs AND k1.t BETWEEN k2.t - 3600 AND k2.t AND k1.vs <> k2.ks GROUP BY ALL),
+  ag AS (SELECT n.game_id, n.slot, n.i, count(*) AS pulled FROM gp n JOIN gp b ON b.game_id = n.game_id AND b.slot = n.slot AND b.i = n.i - 1 JOIN gp e ON e.game_id = n.game_id AND e.i = n.i AND e.a <> n.a JOIN gp eb ON eb.game_id = e.game_id AND eb.slot = e.slot AND eb.i = n.i - 1
+      WHERE {_metres('e.x', 'e.y', 'n.x', 'n.y')} <= 16 AND {_metres('eb.x', 'eb.y', 'b.x', 'b.y')} - {_metres('e.x', 'e.y', 'n.x', 'n.y')} >= 0.5 AND NOT EXISTS (SELECT 1 FROM gp m WHERE m.game_id = n.game_id AND m.i = n.i AND m.a = n.a AND m.slot <> n.slot AND {_metres('m.x', 'm.y', 'e.x', 'e.y')} <= 3) GROUP BY ALL HAVING count(*) <= 2),
+  ae AS (SELECT {_PS}, min(i) AS a, max(i) AS b FROM (SELECT *, sum(s) OVER (PARTITION BY {_PS} ORDER BY i) AS r FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY {_PS} ORDER BY i) <= 2 THEN 0 ELSE 1 END AS s FROM ag)) GROUP BY {_PS}, r),
+  ad AS (SELECT ae.*, (SELECT min(t1) FROM lives l WHERE l.game_id = ae.game_id AND l.slot = ae.slot AND l.died AND l.t1 BETWEEN b * 1800 - 1e-6 AND b * 1800 + 7200 + 1e-6) AS death FROM ae),
+  av AS (SELECT {_PS}, sum((b - a + 1) * 1800.0 * CASE WHEN death IS NULL OR EXISTS (SELECT 1 FROM lk WHERE lk.game_id = ad.game_id AND lk.m.o = ad.slot AND abs(lk.m.t1 - death) <= 1800) THEN 1 ELSE 0.5 END) AS aggro_s FROM ad GROUP BY ALL),
+  de AS (SELECT l.game_id, l.t1 AS t, l.slot AS vs, k.ks, l.x1 AS x, l.y1 AS y FROM lives l JOIN k0 k ON k.game_id = l.game_id AND k.vs = l.slot AND k.t = l.t1 WHERE l.died),
+  di AS (SELECT *, unnest(range(CAST(greatest(0, least(48, round_even((t - 5400) / 1800, 0))) AS BIGINT), CAST(greatest(0, least(48, round_even(t / 1800, 0))) AS BIGINT) + 1)) AS i FROM de),
+  ah AS (SELECT DISTINCT di.game_id, di.t, di.vs, m.slot FROM di LEFT JOIN gp v ON v.game_id = di.game_id AND v.i = di.i AND v.slot = di.vs JOIN gp m ON m.game_id = di.game_id AND m.i = di.i AND m.slot <> di.ks AND m.a = (di.ks <= 4) WHERE {_metres('m.x', 'm.y', 'coalesce(v.x, di.x)', 'coalesce(v.y, di.y)')} <= 8),
+  sl2 AS (SELECT DISTINCT {_PS} FROM lives), kc AS (SELECT game_id, ks AS slot, count(*) AS n FROM de GROUP BY ALL), dc AS (SELECT {_PS}, count(*) AS n FROM lives WHERE died GROUP BY ALL), ac2 AS (SELECT {_PS}, count(*) AS n FROM ah GROUP BY ALL), rv AS (SELECT game_id, ks AS slot, count(*) AS n FROM lk GROUP BY ALL),
+  gd AS (SELECT {_PS}, CASE WHEN count(*) FILTER (NOT alive) > 0 THEN count(*) FILTER (alive) % 5 END AS u, count(*) FILTER (alive) % 7 AS p FROM ev GROUP BY ALL),
+  ff AS (SELECT game_id, a, count(*) AS n FROM fr GROUP BY ALL), fs AS (SELECT game_id, slot, count(*) AS n FROM fr GROUP BY ALL), fo AS (SELECT game_id, ks AS slot, count(*) AS n FROM op GROUP BY ALL), fn AS (SELECT game_id, count(*) AS n FROM op GROUP BY ALL),
+  kq AS (SELECT game_id, ks AS slot, avg(impact) AS q FROM sc GROUP BY ALL), dq AS (SELECT game_id, vs AS slot, avg(death_impact) AS q FROM sc GROUP BY ALL),
+  rw AS (SELECT sl2.game_id, sl2.slot, sl2.slot <= 4 AS a, coalesce(kc.n, 0) AS k, coalesce(dc.n, 0) AS d, coalesce(ac2.n, 0) AS s, coalesce(rv.n, 0) AS r, kq.q AS kill_quality, dq.q AS death_quality, coalesce(presence, 0) AS presence, objective, space, cohesion, CASE WHEN fn.n IS NOT NULL THEN coalesce(fs.n, 0) / ff.n END AS fight_front,
+      coalesce(fo.n, 0) / fn.n AS fight_first_kill, coalesce(aggro_s, 0) / 24 AS aggro, CASE WHEN p > 0 AND u IS NOT NULL THEN least(1, u / p) END AS gadget FROM sl2 LEFT JOIN kc USING ({_PS}) LEFT JOIN dc USING ({_PS}) LEFT JOIN ac2 USING ({_PS}) LEFT JOIN rv USING ({_PS}) LEFT JOIN kq USING ({_PS}) LEFT JOIN dq USING ({_PS}) LEFT JOIN pv USING ({_PS}) LEFT JOIN av USING ({_PS}) LEFT JOIN gd USING ({_PS})
+      LEFT JOIN fs USING ({_PS}) LEFT JOIN fo USING ({_PS}) LEFT JOIN fn ON fn.game_id = sl2.game_id LEFT JOIN ff ON ff.game_id = sl2.game_id AND ff.a = (sl2.slot <= 4)),
+  rx AS (SELECT *, k / 24 AS kills_per_min, d / 24 AS deaths_per_min, s / 24 AS assists_per_min, k / nullif(sum(k) OVER w, 0) AS share_kills, d / nullif(sum(d) OVER w, 0) AS share_deaths, s / nullif(sum(s) OVER w, 0) AS share_assists, CASE WHEN sum(d) OVER w - d > 0 THEN r / (sum(d) OVER w - d) END AS trades FROM rw WINDOW w AS (PARTITION BY game_id, a)),
+  un AS (SELECT {_PS}, s, unnest([{', '.join(f"'{c[0]}'" for c in G.COMPONENTS)}]) AS component, unnest([{', '.join(f"CAST({c[0]} AS DOUBLE)" for c in G.COMPONENTS)}]) AS raw, unnest([{', '.join(f"'{c[1]}'" for c in G.COMPONENTS)}]) AS part, unnest([{', '.join(str(c[2]) for c in G.COMPONENTS)}]) AS weight, unnest([{', '.join(str(c[3]).lower() for c in G.COMPONENTS)}]) AS down FROM rx),
+  sca AS (SELECT component, quantile_cont(raw, 0.05) AS lo, quantile_cont(raw, 0.5) AS mid, quantile_cont(raw, 0.95) AS hi FROM un WHERE raw IS NOT NULL GROUP BY ALL),
+  nt AS (SELECT un.*, round(CASE WHEN down THEN 20 - h ELSE h END, 2) AS note FROM (SELECT un.*, CASE WHEN raw IS NOT NULL AND lo IS NOT NULL THEN greatest(0, least(20, CASE WHEN raw <= mid THEN CASE WHEN mid > lo THEN 10 * (raw - lo) / (mid - lo) WHEN raw = mid THEN 10 ELSE 0 END WHEN hi > mid THEN 10 + 10 * (raw - mid) / (hi - mid) ELSE 20 END)) END AS h FROM un LEFT JOIN sca USING (component)) un),
+  gr2 AS (SELECT {_PS}, any_value(s) AS assists, part, CASE WHEN sum(weight) FILTER (note IS NOT NULL) / sum(weight) >= 0.5 THEN CAST(sum(round(note * 100) * weight) AS BIGINT) END AS m, count(note) AS n, sum(round(raw, 4)) AS total FROM nt GROUP BY ALL)
+SELECT CAST(game_id AS BIGINT) AS game_id, slot, max(assists) AS assists, max(m) FILTER (part = 'individual') AS individual_points, max(m) FILTER (part = 'teamplay') AS teamplay_points, CAST(sum(n) AS BIGINT) AS n_notes, round(sum(total), 2) AS raw_total FROM gr2 GROUP BY game_id, slot"""
+
+
+@query("player_ratings", _RATINGS)
+def player_ratings(spark, d):
+    """Both notes of every player, on the scale of all games: how many components have a note, and their values' sum."""
+    f = match_frames(spark, d)
+    p = point_frames(f)
+    focused, _, fights = C.fight_tables(f["kills"], f["lives"], f["samples"], FIGHT)
+    found = written(W.contacts(W.find_waves(f["lives"], f["samples"], p["zones"], f["games"], WAVE), focused, fights, WAVE), "contacts")
+    line, captures = W.point_tables(p["instances"], p["owners"], WAVE)
+    scores = written(score_kills(focused, fights, found, line, captures, p["instances"], f["lives"], f["samples"], SCORE, FIGHT), "kill-scores")
+    killed = f["kills"].select("game_id", F.col("victim_slot").alias("slot"), F.col("t").alias("t1"), "killer_slot")
+    lives = written(f["lives"].join(killed, ["game_id", "slot", "t1"], "left"), "killed-lives")
+    stats = f["ev"].groupBy("game_id", "slot").agg(F.when(F.count_if(~F.col("alive")) > 0, F.count_if("alive") % 5).alias("gadget_uses"), (F.count_if("alive") % 7).alias("gadget_possible"))
+    raws = written(G.raw_components(f["games"], lives, f["samples"], f["kills"], focused, p["zones"], active_points(f), scores, written(revenge_links(f), "links"), stats, limits=RATING), "raw-components")
+    rated = G.rate_players(raws, G.calibrated(raws), RATING)
+
+    def points(part: str):
+        """The weighted sum of a part's notes in hundredths, which no division rounds; null where the part has no note."""
+        worth = F.create_map(*[F.lit(v) for c in G.COMPONENTS if c[1] == part for v in (c[0], c[2])])
+        return F.when(F.col(part).isNotNull(), F.aggregate("notes", F.lit(0).cast("long"), lambda a, n: a + F.coalesce(F.round(n["note"] * 100).cast("long") * F.try_element_at(worth, n["component"]), F.lit(0).cast("long")))).alias(f"{part}_points")
+
+    total = F.aggregate("notes", F.lit(0.0), lambda a, n: a + F.coalesce(n["raw"], F.lit(0.0)))
+    rows = rated.join(raws.select("game_id", "slot", "assists"), ["game_id", "slot"])
+    return rows.select(F.col("game_id").cast("long").alias("game_id"), "slot", "assists", points("individual"), points("teamplay"), F.size(F.filter("notes", lambda n: n["note"].isNotNull())).cast("long").alias("n_notes"), F.round(total, 2).alias("raw_total"))

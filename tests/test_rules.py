@@ -47,6 +47,16 @@ def test_votes_and_banners(spark):
     assert [(r["banner"], r["text"]) for r in N.banner_lines(lines, 100.0).collect()] == [(0, "TOPONE")]
 
 
+def test_votes_form_clusters_in_the_order_of_reading():
+    assert N.vote(["SHADYJ4Y"] * 6 + ["SHADW4Y"])[0] == "SHADYJ4Y"
+    assert N.vote(["ORXKALIME", "ORXKALIME", "ORXKAUME"]) == ("ORXKALIME", 1.0)
+    # a chain is cut where a reading is far from the cluster's name, whatever it is near to otherwise
+    assert N.vote(["AAAAA", "AAAAB", "AAABB", "AABBB", "AAABB"]) == ("AAABB", 0.6)
+    # the name moves with the votes, and then draws others
+    assert N.vote(["ABCDEF", "ABCDEFGH", "ABCDEFGH", "ABCDEFGX"]) == ("ABCDEFGH", 1.0)
+    assert N.vote(["ONE", "TWO"]) == ("ONE", 0.5)
+
+
 def test_countdown_becomes_games(spark):
     first = [(t, 600) for t in range(5)] + [(4 + k, 600 - k) for k in range(1, 120)]
     first[60] = (first[60][0], 12)  # misread
