@@ -73,4 +73,4 @@ def readings_kept(spark, d):
     kept_readings(spark, folder, games.select("game_id", fingerprint(F.col("game_id"), F.lit(1.5)).alias("key")), read(1))
     step = F.when(F.col("game_id") % 3 == 0, 2.5).otherwise(1.5)
     found = kept_readings(spark, folder, games.where("game_id % 5 > 0").select("game_id", fingerprint(F.col("game_id"), step).alias("key")), read(2))
-    return found.groupBy("game_id", "made").agg(F.count("*").alias("n"))
+    return found.groupBy(F.col("game_id").cast("int").alias("game_id"), "made").agg(F.count("*").alias("n"))

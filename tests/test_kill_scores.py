@@ -1,7 +1,7 @@
 """What kills and deaths are worth, on hand-made matches."""
 
 import pytest
-from match_frames import A_SPAWN, DURATION, FAR_A, MID, POINT, ZONES, Matches, dying, leave, stay, whole
+from match_frames import A_SPAWN, DURATION, FAR_A, FAR_B, MID, POINT, ZONES, Matches, dying, leave, stay, whole
 
 from matchlake.operators import combat as C
 from matchlake.operators import waves as W
@@ -19,7 +19,7 @@ def found(spark):
     m.add("trade", {1: dying(1, 40.5, stay(FAR_A)), 5: dying(5, 40.0, stay(FAR_A))}, [(40, 1, 5), (40.5, 5, 1)], spawn=False)
     m.add("late death", {1: dying(1, 41.5, stay(FAR_A)), 5: dying(5, 40.0, stay(FAR_A))}, [(40, 1, 5), (41.5, 5, 1)], spawn=False)
     m.add("no life ends", {1: whole(stay(FAR_A)), 5: whole(stay(FAR_A))}, [(40, 1, 5)])
-    m.add("wave and capture", {**ATTACK, 5: dying(5, 31.0, stay(MID))}, [(31, 1, 5)], owners=[(0, 5, "none"), (5, 45, "B"), (45, 100, "A")])
+    m.add("wave and capture", {**ATTACK, 5: dying(5, 31.0, stay(MID)), **{s: whole(stay(FAR_B)) for s in (6, 7, 8)}}, [(31, 1, 5)], owners=[(0, 5, "none"), (5, 45, "B"), (45, 100, "A")])
     m.add("holds", {1: whole(stay(MID)), 2: whole(stay(MID)), 5: dying(5, 40.0, stay(MID))}, [(40, 1, 5)], owners=[(0, 5, "none"), (5, 100, "A")], spawn=False)
     m.add("capture too late", {1: whole(stay(MID)), 2: whole(stay(MID)), 5: dying(5, 40.0, stay(MID))}, [(40, 1, 5)], owners=[(0, 5, "none"), (5, 61, "B"), (61, 100, "A")], spawn=False)
     m.add("holds outnumbered", {1: whole(stay(MID)), 5: dying(5, 40.0, stay(MID)), 6: whole(stay(MID)), 7: whole(stay(MID))}, [(40, 1, 5)], owners=[(0, 5, "none"), (5, 100, "A")], spawn=False)

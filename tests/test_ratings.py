@@ -72,7 +72,7 @@ def test_components(found):
     one, two, three, five = (rows["helped kill", s] for s in (1, 2, 3, 5))
     assert one["kills_per_min"] == pytest.approx(0.3) and five["deaths_per_min"] == pytest.approx(0.3) and one["share_kills"] == 1.0 and two["share_kills"] == 0.0
     assert (two["assists"], three["assists"], one["assists"]) == (1, 0, 0) and two["share_assists"] == 1.0 and one["assist_source"] == "measured"
-    assert one["presence"] == 1.0 and one["objective"] == 1.0 and three["objective"] == 0.0 and one["cohesion"] == pytest.approx(0.465, abs=0.01)
+    assert one["presence"] == 1.0 and one["objective"] == pytest.approx(1.0, abs=0.01) and three["objective"] == 0.0 and one["cohesion"] == pytest.approx(0.465, abs=0.01)
     assert (one["kill_quality"], five["death_quality"], two["kill_quality"]) == (2.0, -2.0, None)
     assert (one["fight_first_kill"], one["fight_front"], two["fight_front"], five["fight_front"]) == (1.0, 1.0, 0.0, 1.0)
     assert (one["gadget"], two["gadget"], five["gadget"], rows["helped kill", 6]["gadget"]) == (0.75, None, 1.0, None)

@@ -52,11 +52,11 @@ def test_only_what_changed_is_written_again(spark, tmp_path):
     folder = str(tmp_path)
     games, videos, tables = source(spark)
     B.export_bundles(games, videos, tables, folder)
-    stamps = {r: os.path.getmtime(os.path.join(d, r)) for d, _, files in os.walk(f"{folder}/games") for r in files if r.startswith("part-")}
+    stamps = {os.path.join(d, r): os.path.getmtime(os.path.join(d, r)) for d, _, files in os.walk(f"{folder}/games") for r in files if r.startswith("part-")}
     assert B.export_bundles(games, videos, tables, folder) == {"games": 3, "written": 0, "unchanged": 3, "orphans": 0}
     changed = tables["samples"].where("NOT (game_id = 2 AND frame = 4)")
     assert B.export_bundles(games.where("id < 3"), videos, {**tables, "samples": changed}, folder) == {"games": 2, "written": 1, "unchanged": 1, "orphans": 1}
-    now = {r: os.path.getmtime(os.path.join(d, r)) for d, _, files in os.walk(f"{folder}/games") for r in files if r.startswith("part-")}
+    now = {os.path.join(d, r): os.path.getmtime(os.path.join(d, r)) for d, _, files in os.walk(f"{folder}/games") for r in files if r.startswith("part-")}
     assert len(set(stamps) & set(now)) == 2 and len(now) == 3
     rows = {r["rows"].get("samples") for r in spark.read.parquet(f"{folder}/manifest").collect()}
     assert rows == {5, 4, None}
