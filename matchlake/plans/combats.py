@@ -401,13 +401,13 @@ _RATINGS = f"""{_SCORES[:_SCORES.rindex('SELECT CAST(game_id AS BIGINT) AS game_
   un AS (SELECT {_PS}, s, unnest([{', '.join(f"'{c[0]}'" for c in G.COMPONENTS)}]) AS component, unnest([{', '.join(f"CAST({c[0]} AS DOUBLE)" for c in G.COMPONENTS)}]) AS raw, unnest([{', '.join(f"'{c[1]}'" for c in G.COMPONENTS)}]) AS part, unnest([{', '.join(str(c[2]) for c in G.COMPONENTS)}]) AS weight, unnest([{', '.join(str(c[3]).lower() for c in G.COMPONENTS)}]) AS down FROM rx),
   sca AS (SELECT component, quantile_cont(raw, 0.05) AS lo, quantile_cont(raw, 0.5) AS mid, quantile_cont(raw, 0.95) AS hi FROM un WHERE raw IS NOT NULL GROUP BY ALL),
   nt AS (SELECT un.*, round(CASE WHEN down THEN 20 - h ELSE h END, 2) AS note FROM (SELECT un.*, CASE WHEN raw IS NOT NULL AND lo IS NOT NULL THEN greatest(0, least(20, CASE WHEN raw <= mid THEN CASE WHEN mid > lo THEN 10 * (raw - lo) / (mid - lo) WHEN raw = mid THEN 10 ELSE 0 END WHEN hi > mid THEN 10 + 10 * (raw - mid) / (hi - mid) ELSE 20 END)) END AS h FROM un LEFT JOIN sca USING (component)) un),
-  gr2 AS (SELECT {_PS}, any_value(s) AS assists, part, CASE WHEN sum(weight) FILTER (note IS NOT NULL) / sum(weight) >= 0.5 THEN CAST(sum(round(note * 100) * weight) AS BIGINT) END AS m, count(note) AS n, sum(round(raw, 4)) AS total FROM nt GROUP BY ALL)
-SELECT CAST(game_id AS BIGINT) AS game_id, slot, max(assists) AS assists, max(m) FILTER (part = 'individual') AS individual_points, max(m) FILTER (part = 'teamplay') AS teamplay_points, CAST(sum(n) AS BIGINT) AS n_notes, round(sum(total), 2) AS raw_total FROM gr2 GROUP BY game_id, slot"""
+  gr2 AS (SELECT {_PS}, any_value(s) AS assists, part, CASE WHEN sum(weight) FILTER (note IS NOT NULL) / sum(weight) >= 0.5 THEN CAST(sum(round(note * 100) * weight) AS BIGINT) END AS m, count(note) AS n, sum(round(raw * 10000)) AS total FROM nt GROUP BY ALL)
+SELECT CAST(game_id AS BIGINT) AS game_id, slot, max(assists) AS assists, max(m) FILTER (part = 'individual') AS individual_points, max(m) FILTER (part = 'teamplay') AS teamplay_points, CAST(sum(n) AS BIGINT) AS n_notes, CAST(sum(total) AS BIGINT) AS raw_total FROM gr2 GROUP BY game_id, slot"""
 
 
 @query("player_ratings", _RATINGS)
 def player_ratings(spark, d):
-    """Both notes of every player, on the scale of all games: how many components have a note, and their values' sum."""
+    """Both notes of every player, on the scale of all games: how many components have a note, and the sum of their values in ten-thousandths."""
     f = match_frames(spark, d)
     p = point_frames(f)
     focused, _, fights = C.fight_tables(f["kills"], f["lives"], f["samples"], FIGHT)
@@ -425,6 +425,6 @@ def player_ratings(spark, d):
         worth = F.create_map(*[F.lit(v) for c in G.COMPONENTS if c[1] == part for v in (c[0], c[2])])
         return F.when(F.col(part).isNotNull(), F.aggregate("notes", F.lit(0).cast("long"), lambda a, n: a + F.coalesce(F.round(n["note"] * 100).cast("long") * F.try_element_at(worth, n["component"]), F.lit(0).cast("long")))).alias(f"{part}_points")
 
-    total = F.aggregate("notes", F.lit(0.0), lambda a, n: a + F.coalesce(n["raw"], F.lit(0.0)))
+    total = F.aggregate("notes", F.lit(0).cast("long"), lambda a, n: a + F.coalesce(F.round(n["raw"] * 10_000).cast("long"), F.lit(0).cast("long")))
     rows = rated.join(raws.select("game_id", "slot", "assists"), ["game_id", "slot"])
-    return rows.select(F.col("game_id").cast("long").alias("game_id"), "slot", "assists", points("individual"), points("teamplay"), F.size(F.filter("notes", lambda n: n["note"].isNotNull())).cast("long").alias("n_notes"), F.round(total, 2).alias("raw_total"))
+    return rows.select(F.col("game_id").cast("long").alias("game_id"), "slot", "assists", points("individual"), points("teamplay"), F.size(F.filter("notes", lambda n: n["note"].isNotNull())).cast("long").alias("n_notes"), total.alias("raw_total"))

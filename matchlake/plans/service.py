@@ -28,7 +28,7 @@ def service_tables(spark, d: str) -> dict[str, DataFrame]:
     games = f["games"].select(F.col("game_id").alias("id"), _picked(F.col("game_id"), MAPS).alias("map"), _picked(F.col("game_id"), ("Alpha Team", "ALPHA  team ", "Beta")).alias("team_a"),
                               _picked(F.col("game_id"), ("Équipe Éclair", "equipe  eclair")).alias("team_b"))
     made = f["kills"].groupBy("game_id", F.col("killer_slot").alias("slot")).agg(F.count("*").alias("kills"))
-    seen = ev.groupBy("game_id", "slot").agg(F.count_if(~F.col("alive")).alias("deaths"), F.count_if("alive").alias("rows"), F.round(F.avg("x"), 6).alias("v"))
+    seen = ev.groupBy("game_id", "slot").agg(F.count_if(~F.col("alive")).alias("deaths"), F.count_if("alive").alias("rows"), (F.avg("t") / 86_400).alias("v"))
     stats = seen.join(made, ["game_id", "slot"], "left")
     stats = stats.select("game_id", "slot", F.coalesce("kills", F.lit(0)).alias("kills"), "deaths", F.when(F.col("slot") % 4 != 3, F.col("rows") * 10.0).alias("alive_s"), (F.col("rows") * 2.0).alias("dist_m"), F.col("v").alias("v_mean"),
                          F.when(F.col("deaths") > 0, F.col("rows") % 5).alias("gadget_uses"), (F.col("rows") % 7).alias("gadget_possible"))
@@ -45,7 +45,7 @@ _TABLES = f"""{_MATCH},
   g AS (SELECT DISTINCT game_id, 'Map ' || (game_id % 4) AS map, CASE WHEN game_id % 3 = 2 THEN 'beta' ELSE 'alpha team' END AS key_a, ['Alpha Team', 'ALPHA  team ', 'Beta'][game_id % 3 + 1] AS team_a, 'equipe eclair' AS key_b, ['Équipe Éclair', 'equipe  eclair'][game_id % 2 + 1] AS team_b FROM ev),
   sd AS (SELECT game_id, map, 'A' AS team, key_a AS key, team_a AS name FROM g UNION ALL SELECT game_id, map, 'B', key_b, team_b FROM g),
   mk AS (SELECT game_id, killer AS slot, count(*) AS kills FROM kills WHERE killer IS NOT NULL GROUP BY ALL),
-  s0 AS (SELECT game_id, slot, count(*) FILTER (NOT alive) AS deaths, count(*) FILTER (alive) AS rows, round(avg(x), 6) AS v_mean FROM ev GROUP BY ALL),
+  s0 AS (SELECT game_id, slot, count(*) FILTER (NOT alive) AS deaths, count(*) FILTER (alive) AS rows, avg(t) / 86400 AS v_mean FROM ev GROUP BY ALL),
   st AS (SELECT s0.*, coalesce(kills, 0) AS kills, CASE WHEN slot % 4 <> 3 THEN rows * 10.0 END AS alive_s, rows * 2.0 AS dist_m, CASE WHEN deaths > 0 THEN rows % 5 END AS gadget_uses, rows % 7 AS gadget_possible, CASE WHEN slot <= 4 THEN 'A' ELSE 'B' END AS team FROM s0 LEFT JOIN mk USING (game_id, slot)),
   ep AS (SELECT event_id, game_id, team, ['success', 'fail', 'won_no_capture', 'no_contact', 'duel'][event_id % 5 + 1] AS outcome FROM ev WHERE kind = 'click' AND event_id % 9 > 0 AND event_id % 7 > 0 AND event_id % 11 > 0)"""
 
