@@ -1,6 +1,6 @@
 """Hand-made matches as frames: every case is a game of its own, so that one run of an operator serves many cases."""
 
-import math
+import numpy as np
 
 DURATION = 200.0
 A_SPAWN, B_SPAWN, MID = (0.15, 0.6), (0.80, 0.6), (0.485, 0.54)
@@ -12,15 +12,8 @@ POINT = (0.44, 0.46, 0.53, 0.62)
 
 def track(points):
     """t -> (x, y) along straight lines between (t, (x, y)), still before the first and after the last."""
-    def at(t):
-        if t <= points[0][0]:
-            return points[0][1]
-        for (t0, p), (t1, q) in zip(points, points[1:], strict=False):
-            if t <= t1:
-                k = (t - t0) / (t1 - t0) if t1 > t0 else 1.0
-                return p[0] + k * (q[0] - p[0]), p[1] + k * (q[1] - p[1])
-        return points[-1][1]
-    return at
+    times, places = [t for t, _ in points], np.array([p for _, p in points])
+    return lambda t: tuple(float(np.interp(t, times, places[:, axis])) for axis in (0, 1))
 
 
 def stay(p):
@@ -79,7 +72,3 @@ class Matches:
         for r in df.collect():
             out[names[r["game_id"]]].append(r)
         return out
-
-
-def metres(p, q):
-    return math.hypot((p[0] - q[0]) * 31.0, (p[1] - q[1]) * 16.5)

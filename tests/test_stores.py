@@ -16,7 +16,7 @@ VIDEOS = "id long, path string, duration_s double, fps double"
 
 def source(spark):
     games = spark.createDataFrame([(1, 1, 10.0, 250.0, "North", "confirmed"), (2, 1, 300.0, 500.0, "North", None), (3, 2, 10.0, 90.0, "South", "draft")], GAMES)
-    videos = spark.createDataFrame([(1, "D:/videos/match.mp4", 600.0, 30.0), (2, "D:\\videos\\other.mp4", 100.0, 60.0)], VIDEOS)
+    videos = spark.createDataFrame([(1, "D:/films/cup.mp4", 600.0, 30.0), (2, "D:\\videos\\other.mp4", 100.0, 60.0)], VIDEOS)
     samples = spark.createDataFrame([(g, f, f * 0.2, 1, 0.1 * f) for g in (1, 2) for f in range(5)], "game_id long, frame int, t double, slot int, x double")
     loadouts = spark.createDataFrame([(1, 1, "B1", None, "G1"), (3, 1, "B2", "B1", None)], "game_id long, slot int, weapon1 string, weapon2 string, gadget string")
     comments = spark.createDataFrame([(7, 1, 1, 12.0, 'to be "seen" again\n')], "id long, game_id long, video_id long, t double, text string")
@@ -82,7 +82,7 @@ def test_import_into_an_empty_installation(spark, bundle, tmp_path):
 
 def test_what_is_there_is_skipped_and_icons_are_renamed(spark, bundle, tmp_path):
     root = str(tmp_path)
-    installation(spark, root, [(5, 9, 11.9, 250.0, "North", "mine")], [(9, "/elsewhere/match.mp4", 600.9, 30.0), (8, "/elsewhere/other.mp4", 102.0, 60.0)])
+    installation(spark, root, [(5, 9, 11.9, 250.0, "North", "mine")], [(9, "/elsewhere/cup.mp4", 600.9, 30.0), (8, "/elsewhere/other.mp4", 102.0, 60.0)])
     report = B.import_bundles(spark, bundle, root, spark.createDataFrame([("B1", "B4"), ("B2", "B2")], "old string, new string"))
     assert (report["imported"], report["skipped"]) == (2, 1)
     games = {(g["map"], g["start_s"]): g for g in spark.read.parquet(f"{root}/games").collect()}
@@ -125,8 +125,8 @@ def test_a_failed_import_is_not_seen_and_can_be_tried_again(spark, bundle, tmp_p
 
 
 def test_icons(spark):
-    theirs = spark.createDataFrame([("B1", "x1", "STRIKER"), ("B2", "x2", "LANCER"), ("B3", "x3", None), ("B4", "x4", "NEW"), ("B5", "x5", "NEW"), ("G1", "y1", "STICKY")], "id string, digest string, name string")
-    ours = spark.createDataFrame([("B1", "x1", "STRIKER"), ("B2", "other", "FALCON"), ("B7", "z", "LANCER"), ("B10", "zz", "LANCER")], "id string, digest string, name string")
+    theirs = spark.createDataFrame([("B1", "x1", "HAMMER"), ("B2", "x2", "PIKE"), ("B3", "x3", None), ("B4", "x4", "NEW"), ("B5", "x5", "NEW"), ("G1", "y1", "ROPE")], "id string, digest string, name string")
+    ours = spark.createDataFrame([("B1", "x1", "HAMMER"), ("B2", "other", "BOW"), ("B7", "z", "PIKE"), ("B10", "zz", "PIKE")], "id string, digest string, name string")
     assert {r["old"]: (r["new"], r["created"]) for r in B.map_icons(theirs, ours).collect()} == {"B1": ("B1", False), "B2": ("B7", False), "B3": ("B11", True), "B4": ("B12", True), "B5": ("B12", True), "G1": ("G1", True)}
 
 
