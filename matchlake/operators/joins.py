@@ -22,7 +22,9 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], t: str, payload: list
     w = Window.partitionBy(*by).orderBy(F.col("__t"), side, F.col("__order"))
     before = F.last("__right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if direction == "nearest":
-        after = F.first("__right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        # the same order backwards, as a frame that is open at its end is read again for every row
+        back = Window.partitionBy(*by).orderBy(F.col("__t").desc(), F.col("__side").asc(), F.col("__order").desc())
+        after = F.last("__right", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
         both = both.withColumn("__b", before).withColumn("__a", after)
         best = F.when(F.col("__a").isNull() | (F.col("__t") - F.col("__b.found_t") <= F.col("__a.found_t") - F.col("__t")), F.col("__b")).otherwise(F.col("__a"))
     else:

@@ -196,7 +196,7 @@ def next_to_check(spark, d):
     """The next open order of the same customer, from the start again after the last."""
     w = Window.partitionBy("o_custkey")
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey")).alias("p"))
-    after = F.min("p").over(w.orderBy("o_orderkey").rowsBetween(1, Window.unboundedFollowing))
+    after = F.min("p").over(w.orderBy(F.desc("o_orderkey")).rowsBetween(Window.unboundedPreceding, -1))
     return rows.select("o_orderkey", F.coalesce(after, F.min("p").over(w)).alias("next"))
 
 
