@@ -62,8 +62,9 @@ def forward_fill(df: DataFrame, keys: list[str], order: list[str], value: str, t
 def linear_fill(df: DataFrame, keys: list[str], order: list[str], value: str, t: str, most: float, name: str) -> DataFrame:
     """Null values by a line between the known ones around them, if those are at most `most` apart."""
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(t).alias("t"), F.col(value).alias("v")))
-    w = _ordered(keys, order)
-    both = df.withColumn("__a", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # both ways from the start of an order, as a frame that is open at its end is read again for every row
+    ahead, back = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (_ordered(keys, order), _ordered(keys, [F.desc(c) for c in order])))
+    both = df.withColumn("__a", F.last(known, ignorenulls=True).over(ahead)).withColumn("__b", F.last(known, ignorenulls=True).over(back))
     span = F.col("__b.t") - F.col("__a.t")
     line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * (F.col(t) - F.col("__a.t")) / span
     return both.withColumn(name, F.when(F.col(value).isNotNull(), F.col(value)).when((span > 0) & (span <= most), line)).drop("__a", "__b")
