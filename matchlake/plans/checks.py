@@ -84,8 +84,10 @@ def spike_repair(spark, d):
 SELECT event_id, round(CASE WHEN a IS NOT NULL THEN a WHEN tb > ta AND tb - ta <= 7200 THEN (va + arc * (t - ta) / (tb - ta) + 360) % 360 END, 4) AS angle FROM g""")
 def circular_bridge(spark, d):
     rows = samples(spark, d).select("event_id", *KEYS, "t", F.when(F.col("kind") != "view", F.col("x") * 360).alias("a"))
-    known, w = F.when(F.col("a").isNotNull(), F.struct("t", "a")), Window.partitionBy(*KEYS).orderBy(*ORDER)
-    both = rows.withColumn("b", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("c", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    known, w = F.when(F.col("a").isNotNull(), F.struct("t", "a")), Window.partitionBy(*KEYS)
+    # both ways from the start of an order, as a frame that is open at its end is read again for every row
+    ahead, back = (w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in (ORDER, [F.desc(c) for c in ORDER]))
+    both = rows.withColumn("b", F.last(known, ignorenulls=True).over(ahead)).withColumn("c", F.last(known, ignorenulls=True).over(back))
     span, arc = F.col("c.t") - F.col("b.t"), (F.col("c.a") - F.col("b.a") + 540) % 360 - 180
     bridged = F.when((span > 0) & (span <= 7200), (F.col("b.a") + arc * (F.col("t") - F.col("b.t")) / span + 360) % 360)
     return both.select("event_id", F.round(F.coalesce("a", bridged), 4).alias("angle"))
