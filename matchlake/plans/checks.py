@@ -107,8 +107,9 @@ def label_agreement(spark, d):
 def kill_near_use(spark, d):
     ev = samples(spark, d)
     kills = kills_of(ev).where("killer IS NOT NULL").select("event_id", "game_id", F.col("killer").alias("slot"), F.col("t").alias("ta"))
-    uses = ev.where("kind = 'purchase'").select("game_id", "slot", F.col("t").alias("tb"))
-    return J.within(kills, uses, KEYS, "ta", "tb", -1800.0, 1800.0).select("event_id").distinct()
+    uses = ev.where("kind = 'purchase'").select("game_id", "slot", F.col("t").alias("ta"))
+    near = J.asof(kills.distinct(), uses, KEYS, "ta", [], 1800.0).where("found_t IS NOT NULL")
+    return kills.join(near, ["event_id", "slot"], "left_semi").select("event_id")
 
 
 @query("top_groups", "SELECT c_nationkey, c_mktsegment, n FROM (SELECT c_nationkey, c_mktsegment, n, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS nth FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL)) WHERE nth <= 2")
