@@ -81,8 +81,11 @@ def replaced_overlaps(spark, d):
     ev = samples(spark, d)
     new = ev.where("kind = 'signup'").select("game_id", F.col("event_id").alias("range_id"), (F.col("t") - F.col("value") * 20).alias("b0"), (F.col("t") + F.col("value") * 20).alias("b1"))
     old = ev.where("kind = 'click'").select("game_id", "event_id", F.col("t").alias("a0"), (F.col("t") + F.col("value") * 10).alias("a1"))
-    gone = J.overlaps(old, new, ["game_id"], 3600.0).select("event_id").distinct()
-    kept = old.join(gone, "event_id", "left_anti").select("event_id", F.col("a0").alias("t0"), F.col("a1").alias("t1"), F.lit("kept").alias("origin"))
+    # an old one is gone where a new one that begins before its end ends after its start: the latest such end decides
+    both = old.withColumn("at", F.col("a1")).unionByName(new.select("game_id", F.col("b0").alias("at"), "b1"), allowMissingColumns=True)
+    order = Window.partitionBy("game_id").orderBy("at", F.col("b1").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    kept = both.withColumn("reach", F.max("b1").over(order)).where("event_id IS NOT NULL AND (reach IS NULL OR reach <= a0)")
+    kept = kept.select("event_id", F.col("a0").alias("t0"), F.col("a1").alias("t1"), F.lit("kept").alias("origin"))
     return kept.unionByName(new.select(F.col("range_id").alias("event_id"), F.col("b0").alias("t0"), F.col("b1").alias("t1"), F.lit("new").alias("origin")))
 
 
