@@ -85,17 +85,23 @@ def lanes(spans: pd.DataFrame) -> pd.DataFrame:
 def foci(kills: pd.DataFrame, radius: float = 10.0, scale: tuple[float, float] = (31.0, 16.5)) -> pd.DataFrame:
     """Focus of each kill of a series: the first one that has a kill within `radius` metres; unlocated kills join the first."""
     kills = kills.sort_values(["t", "event_id"], kind="stable")
-    members: list[list[tuple[float, float]]] = []
+    # the places met so far, each once, with the first focus that has it: a kill is compared with places, not with kills
+    at_place: dict[tuple[float, float], int] = {}
+    places, first, n_foci = np.empty((64, 2)), np.empty(64, np.int64), 0
     out = []
     for x, y in zip(kills["x"], kills["y"], strict=True):
         if x is None or y is None or np.isnan(x) or np.isnan(y):
             at = 0
         else:
-            at = next((i for i, m in enumerate(members) if any(np.hypot((x - a) * scale[0], (y - b) * scale[1]) <= radius for a, b in m)), len(members))
-        if at == len(members):
-            members.append([])
-        if x is not None and not np.isnan(x):
-            members[at].append((x, y))
+            n = len(at_place)
+            near = first[:n][np.hypot((x - places[:n, 0]) * scale[0], (y - places[:n, 1]) * scale[1]) <= radius]
+            at = int(near.min()) if len(near) else n_foci
+            if (x, y) not in at_place:
+                if n == len(first):
+                    places, first = np.concatenate([places, places]), np.concatenate([first, first])
+                at_place[x, y], places[n] = n, (x, y)
+            first[at_place[x, y]] = at
+        n_foci = max(n_foci, at + 1)
         out.append(at)
     return kills.assign(focus=out)
 

@@ -1,6 +1,7 @@
 """Names, countdowns and the sequential rules."""
 
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -101,3 +102,25 @@ def test_decimation_and_assignment():
     path = pd.DataFrame({"t": range(11), "x": np.linspace(0, 0.1, 11), "y": 0.0})
     assert S.decimated(path, 1.0)["t"].tolist() == [0, 4, 8, 10]
     assert S.best_assignment(np.array([[0.0, 1.0], [1.0, 0.0]])) == [0, 1] and S.best_assignment(np.array([[0.5, 0.5], [0.5, 0.5]])) is None
+
+
+def test_foci_of_many_kills():
+    """Foci equal those by all earlier kills, and a long series at few places takes no time of its square."""
+    rng = np.random.default_rng(4)
+
+    def frame(n):
+        x, y = rng.integers(0, 12, n) / 12, rng.integers(0, 12, n) / 12
+        x[rng.random(n) < 0.05] = np.nan
+        return pd.DataFrame({"t": np.arange(n, dtype=float), "event_id": 0, "x": x, "y": y})
+
+    small = frame(150)
+    foci: list[list] = []
+    for x, y, found in S.foci(small, 2.0)[["x", "y", "focus"]].itertuples(index=False):
+        at = 0 if np.isnan(x) else next((i for i, m in enumerate(foci) if any(np.hypot((x - a) * 31.0, (y - b) * 16.5) <= 2.0 for a, b in m)), len(foci))
+        foci += [] if at < len(foci) else [[]]
+        if not np.isnan(x):
+            foci[at].append((x, y))
+        assert found == at
+    began = time.time()
+    assert len(S.foci(frame(40_000), 0.5)) == 40_000
+    assert time.time() - began < 20
