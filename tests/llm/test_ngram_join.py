@@ -102,3 +102,15 @@ def test_one_row_of_each_group_stays(spark):
         assert kept.columns == ["doc_id", "text", "doc"]
         got = sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str)
         assert got == sorted([(5, bases[0]), (5, bases[1]), (None, bases[2]), (4, ""), (9, " "), (8, bases[3])], key=str)
+
+
+def test_pairs_of_lists_of_one_task_are_told_once():
+    """Two lists with the same sets propose each pair once, and a list with pairs left tells its token."""
+    import pandas as pd
+
+    rows = pd.DataFrame([(token, 0, 0, 1, rep, 40, bytes(32), rep) for token in (7, 8) for rep in (1, 2, 3)], columns=["token", "i", "j", "pos", "rep", "n", "sketch", "label"])
+    told = pd.concat(list(ngram_join._pair_rows(90, 100, 64)(iter([rows]))))
+    assert sorted(map(tuple, told.to_numpy().tolist())) == [(1, 2), (1, 3), (2, 3)]
+    twins = rows.assign(label=[1, 1, 2, 1, 1, 2])
+    left = pd.concat(list(ngram_join._pair_rows(90, 100, 1)(iter([twins]))))
+    assert sorted(set(left[left["a"] == -1]["b"])) == [7, 8]
