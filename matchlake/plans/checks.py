@@ -159,5 +159,6 @@ def deaths_in_window(spark, d):
     kills = kills_of(samples(spark, d)).where("killer IS NOT NULL")
     a = kills.select("event_id", "game_id", F.col("killer").alias("who"), F.col("t").alias("ta"))
     b = kills_of(samples(spark, d)).select("game_id", F.col("victim").alias("who"), F.col("t").alias("tb"))
-    paid = J.within(a, b, ["game_id", "who"], "ta", "tb", 0.0, 3600.0).where("tb > ta").select("event_id", F.lit(True).alias("paid")).distinct()
-    return a.join(paid, "event_id", "left").select("event_id", (F.col("ta") - 3600).alias("shown_from"), F.coalesce("paid", F.lit(False)).alias("avenged"))
+    # an elimination of several killers has a row for each, avenged or not by itself
+    paid = J.within(a, b, ["game_id", "who"], "ta", "tb", 0.0, 3600.0).where("tb > ta").select("event_id", "who", F.lit(True).alias("paid")).distinct()
+    return a.join(paid, ["event_id", "who"], "left").select("event_id", (F.col("ta") - 3600).alias("shown_from"), F.coalesce("paid", F.lit(False)).alias("avenged"))

@@ -44,3 +44,15 @@ def test_long_stretches_take_linear_time(spark):
     met = J.asof(spans.select("k", "t"), known, ["k"], "t", ["v"], None, "nearest").agg(F.min("found_t"), F.max("found_t"), F.count("v")).first()
     assert time.time() - began < 60
     assert tuple(filled) == (60_001, sum(range(60_001))) and tuple(met) == (0.0, 60_000.0, 120_000)
+
+
+def test_killers_of_one_moment_are_avenged_one_by_one(spark, tmp_path):
+    """Slots 6 and 7 share the moment before an elimination; of both, only slot 7 is eliminated within the hour."""
+    at = dt.datetime(2024, 1, 1, 1, 0, 0)
+    day = [(i, at + dt.timedelta(seconds=s), slot - 1, kind, 1.0, '{"k": 5}') for i, (s, slot, kind) in enumerate([(0, 6, "click"), (0, 7, "view"), (60, 1, "error"), (120, 7, "error"), (9000, 6, "error")])]
+    spark.createDataFrame(day, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = QUERIES["deaths_in_window"](spark, str(tmp_path)).toPandas()
+    assert rows(found) == rows(con.execute(ORACLES["deaths_in_window"]).df())
+    assert sorted(found[found["event_id"] == 2]["avenged"]) == [False, True]
