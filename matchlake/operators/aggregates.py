@@ -11,9 +11,18 @@ def strict_sum(x: Column) -> Column:
     return F.when((F.count(x) == F.count(F.lit(1))) & (F.count(F.lit(1)) > 0), F.sum(x))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded as the SQL of the queries has it: scaled, to the nearest whole number, away from 0 where two are as near, and back.
+
+    F.round takes the shortest decimal of x instead, which is another number where scaling x is not exact: 68.725 is 68.73 by it, here 68.72.
+    """
+    scale = F.lit(float(10**digits))
+    return F.round(x * scale) / scale
+
+
 def ratio(a: Column, b: Column, digits: int = 3) -> Column:
     """a / b, rounded; null if either is null or b is 0."""
-    return F.round(F.try_divide(a.cast("double"), b.cast("double")), digits)
+    return rounded(F.try_divide(a.cast("double"), b.cast("double")), digits)
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.geometry import metres
+from matchlake.operators.aggregates import rounded
 from matchlake.operators.joins import asof, points_in_intervals, within
 from matchlake.operators.stateful import greedy_pairs
 
@@ -126,7 +127,7 @@ def wave_tally(episodes: DataFrame, keys: list[str]) -> DataFrame:
     by = counted.groupBy(*keys, "outcome").agg(F.count("*").alias("n"))
     decided = F.sum(F.when(F.col("outcome").isin("success", "fail", "won_no_capture"), F.col("n")).otherwise(0))
     won = F.sum(F.when(F.col("outcome") == "success", F.col("n")).otherwise(0))
-    return by.groupBy(*keys).agg(F.sum("n").alias("waves"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("outcome", "n")))).alias("outcomes"), decided.alias("decided"), F.round(F.try_divide(won, decided), 3).alias("rate"))
+    return by.groupBy(*keys).agg(F.sum("n").alias("waves"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("outcome", "n")))).alias("outcomes"), decided.alias("decided"), rounded(F.try_divide(won, decided), 3).alias("rate"))
 
 
 def gadget_use(states: DataFrame, lives: DataFrame, delays: DataFrame) -> DataFrame:

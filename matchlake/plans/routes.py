@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from matchlake.functions.geometry import cell
 from matchlake.functions.text import name_key, player_identity
 from matchlake.operators import match as M
-from matchlake.operators.aggregates import first_seen_mode, ratio, strict_sum, upper_median, weighted_mean
+from matchlake.operators.aggregates import first_seen_mode, ratio, rounded, strict_sum, upper_median, weighted_mean
 
 Tables = Mapping[str, DataFrame]
 MAX_GAMES = 200
@@ -137,7 +137,7 @@ def game_summary(tables: Tables, game_id: int | None = None) -> DataFrame:
     stats = tables["player_game_stats"].where(own).withColumn("team", M.team_of(F.col("slot")))
     totals = stats.groupBy("game_id", "team").agg(
         F.sum("kills").alias("kills"), F.sum("deaths").alias("deaths"), strict_sum(F.col("alive_s")).alias("alive_s"), strict_sum(F.col("dist_m")).alias("dist_m"),
-        F.round(weighted_mean(F.col("v_mean"), F.col("alive_s")), 3).alias("v_mean"), strict_sum(F.col("gadget_possible")).alias("gadget_possible"), F.sum("gadget_uses").alias("gadget_uses"))
+        rounded(weighted_mean(F.col("v_mean"), F.col("alive_s")), 3).alias("v_mean"), strict_sum(F.col("gadget_possible")).alias("gadget_possible"), F.sum("gadget_uses").alias("gadget_uses"))
     waves = M.wave_tally(_waves(tables["episodes"].where(own)), ["game_id", "team"])
     return totals.join(waves, ["game_id", "team"], "left").join(M.point_changes(tables["point_active"]), "game_id", "left").orderBy("game_id", "team")
 
@@ -185,7 +185,7 @@ def players_summary(tables: Tables, map_key: str | None = None) -> DataFrame:
     rows = rows.withColumn("order", F.col("game_id") * 10 + F.col("slot"))
     shown = first_seen_mode(rows, ["identity"], "name", "order", "name").select("identity", "name")
     totals = rows.groupBy("identity").agg(F.count_distinct("game_id").alias("games"), F.sum("kills").alias("kills"), F.sum("deaths").alias("deaths"), F.sum("dist_m").alias("dist_m"),
-                                          F.round(weighted_mean(F.col("v_mean"), F.col("alive_s")), 3).alias("v_mean"), F.median("kills").alias("median_kills"))
+                                          rounded(weighted_mean(F.col("v_mean"), F.col("alive_s")), 3).alias("v_mean"), F.median("kills").alias("median_kills"))
     return totals.join(shown, "identity").withColumn("kd", ratio(F.col("kills"), F.col("deaths"))).orderBy(*_kills_first(F.col("kills"), F.col("identity")))
 
 
@@ -197,6 +197,6 @@ def teams_summary(tables: Tables) -> DataFrame:
     scores = tables["capture_state"].where(F.col("point").isin("score_A", "score_B")).withColumn("nth", F.row_number().over(last)).where("nth = 1").select("game_id", F.right("point", F.lit(1)).alias("team"), "pct")
     stats = tables["player_game_stats"].withColumn("team", M.team_of(F.col("slot"))).groupBy("game_id", "team").agg(F.sum("kills").alias("kills"), F.sum("deaths").alias("deaths"))
     rows = sides.join(stats, ["game_id", "team"], "left").join(scores, ["game_id", "team"], "left")
-    totals = rows.groupBy("key").agg(F.count_distinct("game_id").alias("games"), F.sum("kills").alias("kills"), F.sum("deaths").alias("deaths"), F.round(F.avg("pct"), 2).alias("capture"))
+    totals = rows.groupBy("key").agg(F.count_distinct("game_id").alias("games"), F.sum("kills").alias("kills"), F.sum("deaths").alias("deaths"), rounded(F.avg("pct"), 2).alias("capture"))
     shown = first_seen_mode(sides, ["key"], "name", "game_id", "name").select("key", "name")
     return totals.join(shown, "key").withColumn("kd", ratio(F.col("kills"), F.col("deaths"))).orderBy(*_kills_first(F.col("kills"), F.col("key")))

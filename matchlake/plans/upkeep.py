@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from matchlake.operators import aggregates as A
 from matchlake.operators import match as M
 from matchlake.operators.rotations import RotationLimits
 from matchlake.operators.rotations import leave_phase as phase_of
@@ -133,7 +134,7 @@ def storage_by_game(spark, d):
 
 @query("control_counts", f"""{_KINDED} SELECT game_id, count(*) AS ends, count(killer_slot) AS known, count(*) FILTER (kind = 'inferred') AS inferred, round(count(killer_slot) / count(*), 4) AS coverage, max(t) - min(t) AS span FROM kk GROUP BY game_id""")
 def control_counts(spark, d):
-    return _kinded(spark, d).groupBy("game_id").agg(F.count("*").alias("ends"), F.count("killer_slot").alias("known"), F.count_if(F.col("kind") == "inferred").alias("inferred"), F.round(F.count("killer_slot") / F.count("*"), 4).alias("coverage"), (F.max("t") - F.min("t")).alias("span"))
+    return _kinded(spark, d).groupBy("game_id").agg(F.count("*").alias("ends"), F.count("killer_slot").alias("known"), F.count_if(F.col("kind") == "inferred").alias("inferred"), A.rounded(F.count("killer_slot") / F.count("*"), 4).alias("coverage"), (F.max("t") - F.min("t")).alias("span"))
 
 
 _CHANGES = "cur AS (SELECT c_custkey AS k, c_acctbal AS v, 1 AS rev FROM customer WHERE c_custkey % 3 <> 0), ch AS (SELECT c_custkey AS k, c_acctbal + 1 AS v, CAST(c_custkey % 3 AS INT) AS rev FROM customer WHERE c_custkey % 2 = 0)"

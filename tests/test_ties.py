@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from matchlake.operators import aggregates as A
 from matchlake.operators import joins as J
 from matchlake.operators import series as S
 from matchlake.plans.catalogue import ORACLES, QUERIES
@@ -56,3 +57,15 @@ def test_killers_of_one_moment_are_avenged_one_by_one(spark, tmp_path):
     found = QUERIES["deaths_in_window"](spark, str(tmp_path)).toPandas()
     assert rows(found) == rows(con.execute(ORACLES["deaths_in_window"]).df())
     assert sorted(found[found["event_id"] == 2]["avenged"]) == [False, True]
+
+
+def test_rounding_between_two_numbers_as_in_sql(spark):
+    """Means and ratios of whole numbers, halfway between two numbers of so many digits, as the queries round them."""
+    cases = [(n, d) for d in (8, 40, 80, 400, 1200, 2000, 20_000) for n in range(1, 2 * d, max(1, d // 400))]
+    frame = spark.createDataFrame(cases, "a long, b long")
+    found = frame.select("a", "b", A.ratio(F.col("a"), F.col("b")).alias("r3"), A.rounded(F.col("a") / F.col("b"), 2).alias("r2"), A.rounded(-F.col("a") / F.col("b"), 4).alias("r4")).toPandas()
+    con = duckdb.connect()
+    con.register("f", frame.toPandas())
+    assert rows(found) == rows(con.execute("SELECT a, b, round(a / b, 3) AS r3, round(a / b, 2) AS r2, round(-a / b, 4) AS r4 FROM f").df())
+    by_decimals = frame.where(F.round(F.col("a") / F.col("b"), 2) != A.rounded(F.col("a") / F.col("b"), 2))
+    assert by_decimals.count() > 0
