@@ -7,14 +7,13 @@ t1, owner), episodes and so on; slots 1-4 are team A, 5-8 team B; times are seco
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.geometry import metres
 from matchlake.operators.aggregates import rounded
 from matchlake.operators.joins import asof, points_in_intervals, within
-from matchlake.operators.stateful import greedy_pairs
+from matchlake.operators.stateful import mutual_pairs
 
 # Limits of trades and revenges, in seconds and metres.
 TRADE_S, REVENGE_S, REVENGE_M, POSITION_S = 1.0, 5.0, 12.0, 3.0
@@ -39,25 +38,8 @@ def _located(kills: DataFrame, samples: DataFrame) -> DataFrame:
 def trades(kills: DataFrame) -> DataFrame:
     """Pairs of kills in which both players kill each other within TRADE_S, each kill once, closest first."""
     valid = valid_kills(kills).withColumn("id", F.row_number().over(Window.partitionBy("game_id").orderBy("t", "victim_slot")))
-    a = valid.select("game_id", F.col("killer_slot").alias("p"), F.col("victim_slot").alias("q"), F.col("t").alias("ta"), F.col("id").alias("a"))
-    b = valid.select("game_id", F.col("victim_slot").alias("p"), F.col("killer_slot").alias("q"), F.col("t").alias("tb"), F.col("id").alias("b"))
-    # each pair once: by time, and by number where times are equal
-    pairs = within(a, b, ["game_id", "p", "q"], "ta", "tb", 0.0, TRADE_S).where("tb > ta OR a < b").withColumn("dt", F.col("tb") - F.col("ta"))
-    schema = "game_id long, p int, q int, ta double, a int, tb double, b int, dt double"
-    pairs = pairs.select(F.col("game_id").cast("long").alias("game_id"), F.col("p").cast("int").alias("p"), F.col("q").cast("int").alias("q"), "ta", F.col("a").cast("int").alias("a"), "tb", F.col("b").cast("int").alias("b"), "dt")
-    return pairs.groupBy("game_id").applyInPandas(_one_to_one, schema)
-
-
-def _one_to_one(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Greedy matching in which a kill is used on either side once."""
-    doubled = greedy_pairs(pairs)
-    used: set[int] = set()
-    keep = []
-    for a, b in zip(doubled["a"], doubled["b"], strict=True):
-        keep.append(a not in used and b not in used)
-        if keep[-1]:
-            used |= {a, b}
-    return doubled[keep]
+    typed = valid.select(F.col("game_id").cast("long").alias("game_id"), "id", "t", F.col("killer_slot").cast("int").alias("killer"), F.col("victim_slot").cast("int").alias("victim"))
+    return typed.groupBy("game_id").applyInPandas(lambda rows: mutual_pairs(rows, TRADE_S), "game_id long, p int, q int, ta double, a int, tb double, b int, dt double")
 
 
 def revenges(kills: DataFrame, samples: DataFrame) -> DataFrame:

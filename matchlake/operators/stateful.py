@@ -6,6 +6,8 @@ number of rows does not grow with the number of games.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 
@@ -118,6 +120,57 @@ def greedy_pairs(pairs: pd.DataFrame) -> pd.DataFrame:
     return pairs[keep]
 
 
+def mutual_pairs(kills: pd.DataFrame, most: float) -> pd.DataFrame:
+    """Pairs of kills a and b, b at most `most` seconds after a, in which two players kill each other, each kill once, by ascending (dt, a, b).
+
+    What greedy_pairs keeps of all such pairs, which are many more than kills where kills are dense: of each kill only
+    the nearest later one that is still free waits in the heap, so memory grows with the kills. A kill is a row (id, t,
+    killer, victim); one of several killers has a row for each, and serves one pair. Of equal times the smaller id is a.
+    """
+    low, high = kills[["killer", "victim"]].min(axis=1), kills[["killer", "victim"]].max(axis=1)
+    kills = kills.assign(low=low, high=high).drop_duplicates(["id", "low", "high"]).sort_values(["low", "high", "t", "id"], kind="stable")
+    pair = ((kills["low"] != kills["low"].shift()) | (kills["high"] != kills["high"].shift())).cumsum().tolist()
+    ids, t, side, n = kills["id"].tolist(), kills["t"].tolist(), (kills["killer"] < kills["victim"]).astype(int).tolist(), len(kills)
+    # by side, where to look on for the first free row of it from a place on; a place that points to itself is one
+    ahead = [[i if side[i] == s else i + 1 for i in range(n)] + [n] for s in (0, 1)]
+    places: dict = {}
+    for i, kill in enumerate(ids):
+        places.setdefault(kill, []).append(i)
+
+    def first_free(s: int, i: int) -> int:
+        end = i
+        while ahead[s][end] != end:
+            end = ahead[s][end]
+        while ahead[s][i] != end:
+            ahead[s][i], i = end, ahead[s][i]
+        return end
+
+    waiting: list[tuple] = []
+
+    def wait(i: int) -> None:
+        j = first_free(1 - side[i], i + 1)
+        if j < n and pair[j] == pair[i] and t[j] - t[i] <= most:
+            heapq.heappush(waiting, (t[j] - t[i], ids[i], ids[j], i, j))
+
+    for i in range(n):
+        wait(i)
+    used: set = set()
+    kept = []
+    while waiting:
+        _, a, b, i, j = heapq.heappop(waiting)
+        if a in used:
+            continue
+        if b in used:
+            wait(i)
+            continue
+        kept.append((i, j))
+        used |= {a, b}
+        for k in places[a] + places[b]:
+            ahead[side[k]][k] = k + 1
+    a, b = kills.iloc[[i for i, _ in kept]].reset_index(drop=True), kills.iloc[[j for _, j in kept]].reset_index(drop=True)
+    return pd.DataFrame({"game_id": a["game_id"], "p": a["killer"], "q": a["victim"], "ta": a["t"], "a": a["id"], "tb": b["t"], "b": b["id"], "dt": b["t"] - a["t"]})
+
+
 def ray_cells(x: float, y: float, tx: float, ty: float, n: int) -> list[tuple[int, int]]:
     """Cells of an n * n grid that a line from (x, y) to (tx, ty) passes, in order."""
     px, py, dx, dy = x * n, y * n, (tx - x) * n, (ty - y) * n

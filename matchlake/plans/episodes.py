@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from matchlake.operators import series as S
 from matchlake.operators import stateful
-from matchlake.operators.joins import within
 from matchlake.plans.registry import query
 from matchlake.plans.statistics import _KILLS, kills_of
 from matchlake.sources.match_view import samples
@@ -87,11 +86,9 @@ def fights_foci(spark, d):
       (SELECT o.*, walk.used, NOT list_contains(walk.used, o.a) AND NOT list_contains(walk.used, o.b) AS free FROM walk JOIN o ON o.game_id = walk.game_id AND o.i = walk.i + 1))
 SELECT game_id, a, b, dt FROM walk JOIN o USING (game_id, i) WHERE keep""")
 def trades_greedy(spark, d):
-    kills = kills_of(samples(spark, d)).where("killer IS NOT NULL")
-    a = kills.select("game_id", F.col("killer").alias("k1"), F.col("victim").alias("k2"), F.col("t").alias("ta"), F.col("event_id").alias("a"))
-    b = kills.select("game_id", F.col("victim").alias("k1"), F.col("killer").alias("k2"), F.col("t").alias("tb"), F.col("event_id").alias("b"))
-    pairs = within(a, b, ["game_id", "k1", "k2"], "ta", "tb", 0.0, HOUR).where("a <> b").select("game_id", "a", "b", (F.col("tb") - F.col("ta")).alias("dt"))
-    return pairs.groupBy("game_id").applyInPandas(stateful.greedy_pairs, "game_id int, a long, b long, dt double")
+    kills = kills_of(samples(spark, d)).where("killer IS NOT NULL").select("game_id", F.col("event_id").alias("id"), "t", "killer", "victim").distinct()
+    pairs = kills.groupBy("game_id").applyInPandas(lambda rows: stateful.mutual_pairs(rows, HOUR), "game_id int, p int, q int, ta double, a long, tb double, b long, dt double")
+    return pairs.select("game_id", "a", "b", "dt")
 
 
 @query("visibility_counts")

@@ -3,6 +3,7 @@
 import bisect
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -104,6 +105,31 @@ def test_greedy_is_one_to_one():
     assert stateful.greedy_pairs(pairs)[["a", "b"]].values.tolist() == [[1, 8]]
 
 
+def test_mutual_pairs_are_the_greedy_ones_of_all_pairs():
+    rng = random.Random(5)
+    for _ in range(60):
+        rows = {(i // 2 if rng.random() < 0.3 else 1000 + i, float(rng.randrange(25)), rng.randint(1, 3), rng.randint(5, 6), rng.random() < 0.5) for i in range(rng.randrange(2, 60))}
+        times = {i: (t, back) for i, t, *_, back in rows}
+        kills = pd.DataFrame([(1, i, times[i][0], *((v, k) if times[i][1] else (k, v))) for i, _, k, v, _ in rows], columns=["game_id", "id", "t", "killer", "victim"])
+        x = kills.merge(kills, left_on=["game_id", "killer", "victim"], right_on=["game_id", "victim", "killer"], suffixes=("", "_b"))
+        x = x.assign(a=x["id"], b=x["id_b"], dt=x["t_b"] - x["t"])
+        x = x[x["dt"].between(0, 4) & (x["a"] != x["b"])]
+        wanted = stateful.greedy_pairs(x) if len(x) else x
+        assert stateful.mutual_pairs(kills, 4.0)[["a", "b", "dt"]].values.tolist() == wanted[["a", "b", "dt"]].values.tolist()
+
+
+def test_mutual_pairs_of_a_dense_hour_are_not_all_held():
+    """60,000 kills of two players within an hour have 900 million pairs."""
+    n = 60_000
+    side = np.random.default_rng(3).random(n) < 0.5
+    kills = pd.DataFrame({"game_id": 1, "id": np.arange(n), "t": np.arange(n) * 0.05, "killer": np.where(side, 1, 5), "victim": np.where(side, 5, 1)})
+    tracemalloc.start()
+    found = stateful.mutual_pairs(kills, 3600.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and len(set(found["a"]) | set(found["b"])) == 2 * len(found) and len(found) == min(side.sum(), n - side.sum())
+
+
 def test_lanes_never_overlap():
     rng = random.Random(3)
     spans = pd.DataFrame([(1, i, t, t + rng.random() * 5) for i, t in enumerate(rng.random() * 20 for _ in range(40))], columns=["game_id", "event_id", "t0", "t1"])
