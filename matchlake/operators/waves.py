@@ -22,6 +22,7 @@ from matchlake.scratch import written
 from matchlake.sources.match_view import ARENA_M
 
 WAVE = ["game_id", "team", "wave"]
+BUCKET = 300.0  # seconds of a game in which moments meet the holdings of a point
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,7 @@ def contacts(waves: DataFrame, focused: DataFrame, fights: DataFrame, limits: Wa
     """
     members = waves.select(*WAVE, "t_start", "limit", F.explode("members").alias("m")).select(*WAVE, F.greatest(F.col("t_start"), F.col("m.t_exit")).alias("a"), F.least("limit", F.col("m.life_end") + limits.after_life).alias("b"), "m.slot")
     sides = focused.select("game_id", "t", "run", "focus", "nth", F.explode(F.array("killer_slot", "victim_slot")).alias("slot"))
-    met = points_in_intervals(sides, members, ["game_id", "slot"], "t", "a", "b", limits.contact, 1e-6)
+    met = points_in_intervals(sides, members, ["game_id", "slot"], "t", "a", "b", limits.contact / 60, 1e-6)
     series = met.groupBy(*WAVE, "run").agg(F.min("t").alias("t"), F.min(F.struct("nth", "focus")).alias("first")).join(fights.select("game_id", "run", "kind"), ["game_id", "run"])
     listed = series.groupBy(*WAVE).agg(F.min("t").alias("t_contact"), F.sort_array(F.collect_list(F.struct("first", "run", "kind"))).alias("met"))
     teamfight = F.filter("met", lambda x: x["kind"] == "teamfight")
@@ -247,7 +248,7 @@ def allotted_captures(waves: DataFrame, captures: DataFrame, instances: DataFram
 def _held_at(asked: DataFrame, line: DataFrame, name: str) -> DataFrame:
     """Of the asks (wave, inst, t), who holds the instance then, as `name`; no row where nothing is read."""
     spans = line.select("game_id", "inst", (F.col("t0") - 1e-6).alias("h0"), F.col("t1").alias("h1"), F.col("holder").alias(name))
-    return asked.join(spans, ["game_id", "inst"]).where("t >= h0 AND t < h1").groupBy(*WAVE).agg(F.min_by(name, "h0").alias(name))
+    return points_in_intervals(asked.where("inst IS NOT NULL"), spans, ["game_id", "inst"], "t", "h0", "h1", BUCKET).where("t < h1").groupBy(*WAVE).agg(F.min_by(name, "h0").alias(name))
 
 
 def _aims(waves: DataFrame, taken: DataFrame, instances: DataFrame, line: DataFrame, samples: DataFrame, limits: WaveLimits, gap: float) -> DataFrame:
@@ -256,7 +257,7 @@ def _aims(waves: DataFrame, taken: DataFrame, instances: DataFrame, line: DataFr
     centre = centroids(rows.where("cap_inst IS NULL").select(*WAVE, F.col("t_ref").alias("t")), waves, samples, WAVE, gap)
     near = centre.join(instances.select("game_id", "inst", "rect", F.col("t0").alias("i0"), F.col("t1").alias("i1")), "game_id").where((F.col("t") >= F.col("i0") - 1) & (F.col("t") <= F.col("i1") + 1))
     read = line.select("game_id", "inst", (F.col("t0") - limits.adjacent).alias("k0"), (F.col("t1") + limits.adjacent).alias("k1"))
-    near = near.join(read, ["game_id", "inst"]).where("t BETWEEN k0 AND k1").withColumn("far", F.coalesce(C.rect_metres(F.col("cx"), F.col("cy"), F.col("rect")), F.lit(0.0)))
+    near = points_in_intervals(near, read, ["game_id", "inst"], "t", "k0", "k1", BUCKET).withColumn("far", F.coalesce(C.rect_metres(F.col("cx"), F.col("cy"), F.col("rect")), F.lit(0.0)))
     aimed = near.groupBy(*WAVE).agg(F.min(F.struct("far", "inst")).alias("n")).select(*WAVE, F.col("n.inst").alias("near_inst"))
     rows = rows.join(aimed, WAVE, "left").withColumn("inst", F.coalesce("cap_inst", "near_inst")).drop("cap_inst", "near_inst")
     return rows.join(instances.select("game_id", "inst", "point", "rect"), ["game_id", "inst"], "left")
