@@ -95,11 +95,11 @@ def _points(rows: DataFrame, line: DataFrame, captures: DataFrame, instances: Da
     near = near.where((F.col("t") >= F.col("i0") - 1) & (F.col("t") <= F.col("i1") + 1) & (C.rect_metres(F.col("x"), F.col("y"), F.col("rect")) <= limits.point_m))
     near = near.withColumn("until", F.least(F.col("t") + limits.window, F.col("read_until") - 0.01, F.col("i1") - 0.01)).select(*KILL, "t", "team", "inst", "until")
     spans = near.select(*KILL, "team", "inst", F.col("t").alias("a"), (F.col("t") + limits.window).alias("b"))
-    takes = points_in_intervals(captures.select("game_id", "team", "inst", F.col("t").alias("cap_t")), spans, ["game_id", "team", "inst"], "cap_t", "a", "b", 10 * limits.window).select(*KILL)
+    takes = points_in_intervals(captures.select("game_id", "team", "inst", F.col("t").alias("cap_t")), spans, ["game_id", "team", "inst"], "cap_t", "a", "b", limits.window).select(*KILL)
     held = line.select("game_id", "inst", F.col("holder").alias("team"), (F.col("t0") - 1e-6).alias("h0"), F.col("t1").alias("h1"))
     # both moments meet the holdings of their time, not all of a game
     moments = near.where("until > t").select(*KILL, "inst", "team", F.explode(F.array(F.struct(F.lit(False).alias("last"), F.col("t").alias("m")), F.struct(F.lit(True).alias("last"), F.col("until").alias("m")))).alias("s")).select(*KILL, "inst", "team", "s.*")
-    met = points_in_intervals(moments, held, ["game_id", "inst", "team"], "m", "h0", "h1", 10 * limits.window).where("m < h1")
+    met = points_in_intervals(moments, held, ["game_id", "inst", "team"], "m", "h0", "h1", limits.window / 4).where("m < h1")
     holds = met.groupBy(*KILL, "inst").agg(F.bool_or(~F.col("last")).alias("first"), F.bool_or("last").alias("then")).where("first AND then").select(*KILL)
     return takes.unionByName(holds).distinct().withColumn("point", F.lit(True))
 
