@@ -114,3 +114,30 @@ def test_pairs_of_lists_of_one_task_are_told_once():
     twins = rows.assign(label=[1, 1, 2, 1, 1, 2])
     left = pd.concat(list(ngram_join._pair_rows(90, 100, 1)(iter([twins]))))
     assert sorted(set(left[left["a"] == -1]["b"])) == [7, 8]
+
+
+def test_components_that_more_edges_extend(spark):
+    """New edges join known components, lone nodes and each other; the smallest node names each."""
+    def table(pairs):
+        return spark.createDataFrame(pairs, "a long, b long")
+
+    labels = ngram_join.components(table([(2, 3), (3, 4), (7, 8), (10, 11)]))
+    more = table([(4, 9), (9, 7), (20, 21), (1, 11), (2, 4)])
+    wanted = {1: 1, 10: 1, 11: 1, 20: 20, 21: 20} | dict.fromkeys([2, 3, 4, 7, 8, 9], 2)
+    assert dict(map(tuple, ngram_join.extended(labels, more).collect())) == wanted
+    assert dict(map(tuple, ngram_join.extended(labels, table([(3, 2)])).collect())) == dict(map(tuple, labels.collect()))
+
+
+def test_sketches_are_not_written_with_the_lists(spark, monkeypatch):
+    """A list's rows are shuffled several times and kept; the sketches, most of their bytes, join them last."""
+    kept = {}
+
+    def spy(df, label):
+        kept.setdefault(label, []).append(df.columns)
+        return real(df, label)
+
+    real = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", spy)
+    rows = [(i, " ".join(f"w{j}" for j in range(40)) + f" e{i}") for i in range(6)]
+    assert found(spark, rows, size=3, percent=80) == ids_by_hand(rows, 3, 80)
+    assert kept["join-lists"] and all("sketch" not in columns for columns in kept["join-lists"])
