@@ -188,18 +188,19 @@ def logit(block: Block, weights: tuple[float, ...] = PRIOR) -> float:
     return sum(w * x for w, x in zip(weights, features(block), strict=True))
 
 
-_EXAMPLES = "host string, own long, article long, inside boolean, x array<double>"
+_EXAMPLES = "host long, own long, article long, inside boolean, x array<float>"
+FIXED = 1 << 30  # sums of the fit are whole multiples of its inverse, so that their order does not matter
 
 
 def _examples(batches):
-    """Blocks of pages: host, hash of the text, hash of the page's longest text, whether an article holds it, features."""
+    """Blocks of pages, equal ones of a page once: hashes of the host, the text and the page's longest text, whether an article holds it, features."""
     for batch in batches:
         out = []
         for host, html in zip(batch["host"], batch["html"], strict=True):
             found = blocks(html or "")
             if found:
-                article = _hash(max((b.text for b in found), key=len))
-                out += [(host, _hash(b.text), article, b.node.content and not b.node.boiler and b.node.named <= 0, features(b)) for b in found]
+                where, article = _hash(host), _hash(max((b.text for b in found), key=len))
+                out += dict.fromkeys((where, _hash(b.text), article, b.node.content and not b.node.boiler and b.node.named <= 0, tuple(features(b))) for b in found)
         yield pd.DataFrame(out, columns=["host", "own", "article", "inside", "x"])
 
 
@@ -207,51 +208,80 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, evidence: float = 400.0, spread: float = 0.5) -> tuple[float, ...]:
-    """Weights of a logistic regression by Newton's method.
+def sums(x: np.ndarray, times: np.ndarray, w: np.ndarray, y: float) -> list[int]:
+    """Gradient and upper half of the Hessian of a logistic regression at w, by FIXED, over rows of the label y."""
+    p = 1 / (1 + np.exp(-np.clip((x * w).sum(axis=1), -30, 30)))
+    a, b = np.triu_indices(x.shape[1])
+    each = np.concatenate([x * (y - p)[:, None], x[:, a] * x[:, b] * (p * (1 - p))[:, None]], axis=1)
+    return (np.rint(each * FIXED).astype(np.int64) * times[:, None]).sum(axis=0).tolist()
+
+
+def newton(totals, n0: int, n1: int, evidence: float = 400.0, spread: float = 0.5) -> tuple[float, ...]:
+    """Weights of a logistic regression by Newton's method; totals(w) gives `sums` for the labels 0 and 1.
 
     The examples weigh as `evidence` ones, half of them of each label; the prior about PRIOR has the deviation `spread`.
     """
     prior = np.array(PRIOR)
-    if not (y == 1).any() or not (y == 0).any():
+    if not n0 or not n1:
         return PRIOR
-    share = np.where(y == 1, 1 / (y == 1).sum(), 1 / (y == 0).sum()) * evidence / 2
+    size = len(prior)
+    a, b = np.triu_indices(size)
     w = prior.copy()
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / spread**2, x.T @ (share * (y - p)) - (w - prior) / spread**2)
+        by = sum(np.array(total, float) / FIXED * (evidence / 2 / n) for total, n in zip(totals(w), (n0, n1), strict=True))
+        hessian = np.zeros((size, size))
+        hessian[a, b] = hessian[b, a] = by[size:]
+        step = np.linalg.solve(hessian + np.eye(size) / spread**2, by[:size] - (w - prior) / spread**2)
         w += step
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-6:  # the error after such a step is near its square, below what the sums resolve
             break
     return tuple(w.tolist())
 
 
-def train(df: DataFrame, url: str = "url", html: str = "html", sample_pages: int = 4000, sample_blocks: int = 20_000, repeats: int = 3) -> tuple[float, ...]:
-    """Weights learnt from about `sample_pages` pages, taken by the hash of their url, and of their labelled blocks about `sample_blocks`.
+def fit(x: np.ndarray, y: np.ndarray, evidence: float = 400.0, spread: float = 0.5) -> tuple[float, ...]:
+    """The weights that `newton` gives for examples at hand."""
+    once = np.ones(len(y), np.int64)
+    return newton(lambda w: [sums(x[y == v], once[y == v], w, v) for v in (0, 1)], int((y == 0).sum()), int((y == 1).sum()), evidence, spread)
+
+
+def _sum_rows(w: np.ndarray):
+    """Sums over patterns, each as it is and once more without what the page says of itself."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for label, rows in batch.groupby("y"):
+                x, times = np.array(rows["x"].tolist(), float), rows["times"].to_numpy(np.int64)
+                masked = x.copy()
+                masked[:, MASKED] = 0.0
+                out.append((label, [p + q for p, q in zip(sums(x, times, w, label), sums(masked, times, w, label), strict=True)]))
+            yield pd.DataFrame(out, columns=["y", "sums"])
+    return run
+
+
+def train(df: DataFrame, url: str = "url", html: str = "html", repeats: int = 3) -> tuple[float, ...]:
+    """Weights learnt from the labelled blocks of all pages.
 
     Boilerplate: a text on pages of `repeats` or more different articles of one host; copies of an article count once.
     Content: a text inside an article on one page only. Each example is seen again without what the page's tags and
-    names say. Pages that show none of either give the prior.
+    names say. Pages that show none of either give the prior. Equal features are counted, and every step of the fit sums
+    over the counts in tasks.
     """
-    total = max(df.count(), 1)
     host = F.coalesce(F.regexp_extract(F.col(url), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
-    taken = df.where(F.pmod(F.xxhash64(F.coalesce(F.col(url), F.lit(""))), F.lit(1_000_000)) < F.lit(1_000_000 * sample_pages / total)).select(host.alias("host"), F.col(html).alias("html"))
-    seen = written(taken.mapInPandas(_examples, _EXAMPLES), "page-blocks")
+    seen = written(df.select(host.alias("host"), F.col(html).alias("html")).mapInPandas(_examples, _EXAMPLES), "page-blocks")
     spread = seen.groupBy("host", "own").agg(F.count_distinct("article").alias("articles"))
     # texts a host repeats are few by host; both sides are hashed by host and text, so a hot host is spread
-    label = F.when(F.col("articles") >= repeats, 0.0).when((F.col("articles") == 1) & F.col("inside"), 1.0)
+    label = F.when(F.col("articles") >= repeats, 0).when((F.col("articles") == 1) & F.col("inside"), 1)
     labelled = seen.join(spread, ["host", "own"]).select("own", "article", "x", label.alias("y")).where("y IS NOT NULL").distinct()
-    per = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
-    keep = F.lit(False)
-    for y, n in per.items():
-        keep |= (F.col("y") == y) & (F.pmod(F.xxhash64("own", "article"), F.lit(1_000_000)) < F.lit(1_000_000 * sample_blocks / 2 / n))
-    rows = labelled.where(keep).orderBy("own", "article", "x").toPandas()
-    if not len(rows):
-        return PRIOR
-    x, y = np.array(rows["x"].tolist(), float), rows["y"].to_numpy(float)
-    masked = x.copy()
-    masked[:, MASKED] = 0.0
-    return fit(np.concatenate([x, masked]), np.concatenate([y, y]))
+    patterns = written(labelled.groupBy("y", "x").agg(F.count("*").alias("times")), "page-patterns")
+    per = {r["y"]: r["n"] for r in patterns.groupBy("y").agg(F.sum("times").alias("n")).collect()}
+    size = len(PRIOR) + len(PRIOR) * (len(PRIOR) + 1) // 2
+
+    def totals(w: np.ndarray) -> list[list[int]]:
+        parts = patterns.mapInPandas(_sum_rows(w), "y int, sums array<long>")
+        found = {r["y"]: list(r)[1:] for r in parts.groupBy("y").agg(*[F.sum(F.col("sums")[i].cast("decimal(28,0)")).alias(f"s{i}") for i in range(size)]).collect()}
+        return [[int(v) for v in found[y]] for y in (0, 1)]
+
+    return newton(totals, 2 * per.get(0, 0), 2 * per.get(1, 0))
 
 
 def minimum_cut(to_source: list[float], to_sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:

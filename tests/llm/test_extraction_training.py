@@ -40,3 +40,19 @@ def test_the_prior_holds_weights_that_nothing_speaks_of():
     x[:, 0], x[20:, 4] = 1.0, 1.0
     w = X.fit(x, np.r_[np.zeros(20), np.ones(20)])
     assert w[4] > X.PRIOR[4] and all(abs(a - b) < 1e-9 for i, (a, b) in enumerate(zip(w, X.PRIOR, strict=True)) if i not in (0, 4))
+
+
+def test_every_page_counts(spark, monkeypatch):
+    """A foot that three pages of thousands repeat is boilerplate, whichever they are; nothing is drawn."""
+    rows = [(i, f"https://site{i}.example/{i}", f"<article><p>Story {i} tells of a quiet village by the sea.</p></article>", "", "") for i in range(6000)]
+    foot = [(i, f"https://foot.example/{i}", f"<article><p>Tale {i} tells of a quiet village by the sea.</p></article><div>All rights kept by us.</div>", "", "") for i in range(6000, 6003)]
+    counted = {}
+
+    def spy(totals, n0, n1, *rest):
+        counted.update(n0=n0, n1=n1)
+        return real(totals, n0, n1, *rest)
+
+    real = X.newton
+    monkeypatch.setattr(X, "newton", spy)
+    weights = X.train(spark.createDataFrame(rows + foot, SCHEMA))
+    assert counted == {"n0": 6, "n1": 12006} and weights != X.PRIOR
