@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,9 +123,9 @@ def _chance(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
 
 
 def _weighed(df: DataFrame, positive: float) -> DataFrame:
-    """df with `weight`: in each form, positive rows weigh `positive` times as much as the unlabelled ones together."""
-    sums = df.groupBy("form").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("u"))
-    return df.join(F.broadcast(sums), "form").withColumn("weight", F.when(F.col("label") == 0, 1.0).otherwise(F.greatest("u", F.lit(1.0)) * positive / F.col("p"))).drop("p", "u")
+    """df with `weight`: in each form, positive rows weigh `positive` times as much as the unlabelled ones together; a row stands for `times` candidates."""
+    sums = df.groupBy("form").agg(F.sum(F.col("label") * F.col("times")).alias("p"), F.sum((1 - F.col("label")) * F.col("times")).alias("u"))
+    return df.join(F.broadcast(sums), "form").withColumn("weight", F.col("times") * F.when(F.col("label") == 0, 1.0).otherwise(F.greatest("u", F.lit(1.0)) * positive / F.col("p"))).drop("p", "u")
 
 
 def _steps(df: DataFrame) -> dict[str, list[tuple[int, float, float]]]:
@@ -145,7 +145,7 @@ def _by_form(values: dict[str, float]) -> Column:
     return found
 
 
-def _learnt(base: DataFrame, wide: DataFrame, train_rows: int, trees: int, depth: int, precision: float) -> tuple[GBTClassificationModel, dict[str, float]] | None:
+def _learnt(base: DataFrame, wide: DataFrame, trees: int, depth: int, precision: float) -> tuple[GBTClassificationModel, dict[str, float]] | None:
     """The trees and by form (address, number) the chance from which a candidate is chosen; None where too few base matches teach them."""
     hidden = F.expr("CASE " + " ".join(f"WHEN kind = '{k}' THEN array({', '.join(v)})" for k, v in HIDDEN.items()) + " END")
     # Each once as it stands and once after a word that names such data, so that context counts for a candidate, never against it.
@@ -153,22 +153,21 @@ def _learnt(base: DataFrame, wide: DataFrame, train_rows: int, trees: int, depth
     known = (base.select("text_hash", "start", "end", form, F.explode(hidden).alias("hit"), "before", "after", F.lit(1.0).alias("label"))
              .select("text_hash", "start", "end", "form", "hit", F.explode(F.array("before", F.lit(NAMING))).alias("before"), "after", "label"))
     free = wide.select("text_hash", "start", "end", F.col("kind").alias("form"), "hit", "before", "after", F.lit(0.0).alias("label"))
-    n_known, n_free = known.count(), free.count()
-    if not n_known or not n_free:
+    if not known.limit(1).count() or not free.limit(1).count():
         return None
-    draw = F.pmod(F.xxhash64("text_hash", "start", "end", "hit", "before", F.lit(10)), F.lit(1 << 20))
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, train_rows / 2 / n_known))).otherwise(F.lit(min(1.0, train_rows / 2 / n_free)))
-    drawn = known.unionByName(free).where(draw < share * F.lit(float(1 << 20)))
-    # Documents, not candidates, are dealt to the part that is fitted on and the part that is held back.
-    sample = written(featured(drawn).select("form", "label", "features", (F.pmod(F.xxhash64("text_hash", F.lit(3)), F.lit(3)) == 0).alias("held")), "pii-sample")
-    sizes = {(r["label"], r["held"]): r["count"] for r in sample.groupBy("label", "held").count().collect()}
+    # Documents, not candidates, are dealt to the part that is fitted on and the part that is held back. What looks alike
+    # to the trees is counted, so that all candidates teach them.
+    held = (F.pmod(F.xxhash64("text_hash", F.lit(3)), F.lit(3)) == 0).alias("held")
+    counted = featured(known.unionByName(free)).select("form", "label", held, vector_to_array("features").alias("values")).groupBy("form", "label", "held", "values").agg(F.count("*").alias("times"))
+    sample = written(counted, "pii-sample").withColumn("features", array_to_vector("values")).drop("values")
+    sizes = {(r["label"], r["held"]): r["n"] for r in sample.groupBy("label", "held").agg(F.sum("times").alias("n")).collect()}
     if sizes.get((1.0, False), 0) < LEAST_POSITIVE or not sizes.get((0.0, False)) or not sizes.get((1.0, True)):
         return None
     learner = GBTClassifier(maxIter=trees, maxDepth=depth, seed=10, maxMemoryInMB=64, weightCol="weight")
     first = learner.fit(_weighed(sample.where("NOT held"), FAVOUR).select("label", "features", "weight"))
     told = _chance(first, sample)
     # Where positives, favoured, prevail, unlabelled candidates are no reliable negatives.
-    clear = written(_weighed(told.where((F.col("label") == 1) | (F.col("chance") < 0.5)).select("form", "label", "features", "held"), 1.0), "pii-clear")
+    clear = written(_weighed(told.where((F.col("label") == 1) | (F.col("chance") < 0.5)).select("form", "label", "features", "held", "times"), 1.0), "pii-clear")
     if not clear.where("NOT held AND label = 0").limit(1).count():
         return None
     model = learner.fit(clear.where("NOT held").select("label", "features", "weight"))
@@ -182,13 +181,13 @@ def _learnt(base: DataFrame, wide: DataFrame, train_rows: int, trees: int, depth
     return model, thresholds
 
 
-def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = 6000, trees: int = 8, depth: int = 4, precision: float = 0.98) -> DataFrame:
+def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text", trees: int = 8, depth: int = 4, precision: float = 0.98) -> DataFrame:
     """row, key, text_hash and spans (kind, start, end, base) of every row, by kind as listed and then start.
 
     - null and empty texts have no spans. Repeated rows each get their own, equal result.
     - added spans overlap no base span and no longer added span; base spans may overlap each other.
-    - train_rows bounds the sample the trees are fitted on; every candidate of every text is scored. A corpus with too
-      few base matches to learn from (LEAST_POSITIVE) gets base spans alone.
+    - the trees and thresholds are learnt from every candidate of every text, all of which are scored. A corpus with
+      too few base matches to learn from (LEAST_POSITIVE) gets base spans alone.
     - an empty table gives an empty result; other columns are ignored.
     """
     found = written(candidates(df, key, text), "pii-scored")
@@ -202,7 +201,7 @@ def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text", train_rows:
     wide = both.where(~is_base & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end"))))
     wide = written(wide.select("row", "text_hash", "kind", "start", "end", "hit", "before", "after"), "pii-wide")
     kept = valid.select("row", "kind", "start", "end", F.lit(True).alias("base"))
-    learnt = _learnt(valid, wide, train_rows, trees, depth, precision)
+    learnt = _learnt(valid, wide, trees, depth, precision)
     if learnt is not None:
         model, thresholds = learnt
         chosen = _chance(model, featured(wide).withColumn("form", F.col("kind"))).where(F.col("chance") >= _by_form(thresholds)).select("row", "kind", "start", "end")

@@ -67,3 +67,20 @@ def test_hidden_values_of_a_real_table_are_added(spark):
     hits = sum(any(not s["base"] for s in r["spans"]) for r in asked)
     wrong = sum(any(not s["base"] for s in r["spans"]) for r in both if r["key"] % 80 not in (3, 4))
     assert hits / len(asked) >= 0.85 and wrong <= 0.01 * len(both), (hits, len(asked), wrong)
+
+
+def test_every_candidate_teaches_the_trees(spark, monkeypatch):
+    """What the trees and thresholds are learnt from counts all base matches, each hidden in all ways, and all wide candidates."""
+    kept = {}
+
+    def spy(df, label):
+        kept[label] = real(df, label)
+        return kept[label]
+
+    real = pii.written
+    monkeypatch.setattr(pii, "written", spy)
+    base = spark.range(4000).select(F.col("id").alias("text_hash"), F.lit("ip").alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(8).cast("long").alias("end"), F.concat(F.lit("10.20."), F.col("id") % 200, F.lit(".7")).alias("hit"),
+                                    F.lit("").alias("number"), F.lit("at ").alias("before"), F.lit(" x").alias("after"))
+    wide = spark.range(9000).select(F.col("id").alias("text_hash"), F.lit("number").alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(9).cast("long").alias("end"), F.lpad(F.col("id").cast("string"), 9, "1").alias("hit"), F.lit("no ").alias("before"), F.lit(" x").alias("after"))
+    assert pii._learnt(base, wide, 2, 2, 0.9) is not None
+    assert {r["label"]: r["n"] for r in kept["pii-sample"].groupBy("label").agg(F.sum("times").alias("n")).collect()} == {1.0: 4000 * len(pii.HIDDEN["ip"]) * 2, 0.0: 9000}
