@@ -2,10 +2,12 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
+from matchlake import scratch
 from matchlake.llm import ngram_join
 
 
@@ -141,3 +143,36 @@ def test_sketches_are_not_written_with_the_lists(spark, monkeypatch):
     rows = [(i, " ".join(f"w{j}" for j in range(40)) + f" e{i}") for i in range(6)]
     assert found(spark, rows, size=3, percent=80) == ids_by_hand(rows, 3, 80)
     assert kept["join-lists"] and all("sketch" not in columns for columns in kept["join-lists"])
+
+
+def test_a_long_list_of_long_sketches_is_read_in_bounded_memory():
+    """All pairs of a full list at once are 250 MB of sketches and more of what is made of them."""
+    rng = np.random.default_rng(5)
+    one = rng.integers(0, 256, 2048, dtype=np.uint8)
+    rows = np.repeat(one[None], 350, axis=0)
+    rows[np.arange(350), rng.integers(0, 2048, 350)] ^= 1
+    pos, n = np.zeros(350, np.int64), np.full(350, 8000)
+    tracemalloc.start()
+    a, b, far = ngram_join._survivors(pos, n, [r.tobytes() for r in rows], 80, 100)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20
+    assert len({(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}) == len(a) == 350 * 349 // 2
+    bits = rows.view(np.uint64)
+    assert all(f == int(np.bitwise_count(bits[x] ^ bits[y]).sum()) for x, y, f in zip(a[:500], b[:500], far[:500], strict=True))
+
+
+def test_python_steps_hold_few_rows_at_once(spark, monkeypatch):
+    """The steps that read texts or sketches get small batches; the session's own number stands afterwards."""
+    seen = {}
+
+    def spy(df, label):
+        seen.setdefault(label, set()).add(int(spark.conf.get(scratch.ARROW_ROWS)))
+        return real(df, label)
+
+    real, before = ngram_join.written, spark.conf.get(scratch.ARROW_ROWS)
+    monkeypatch.setattr(ngram_join, "written", spy)
+    rows = [(i, " ".join(f"w{j}" for j in range(40)) + f" e{i}") for i in range(6)]
+    assert found(spark, rows, size=3, percent=80) == ids_by_hand(rows, 3, 80)
+    assert all(seen[label] == {ngram_join.BATCH_ROWS} for label in ("join-words", "join-rows", "join-sets"))
+    assert ngram_join.BATCH_ROWS in seen["join-pairs"] and spark.conf.get(scratch.ARROW_ROWS) == before
