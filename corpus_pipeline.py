@@ -10,6 +10,9 @@ from matchlake.llm.common import written
 from matchlake.llm.decontamination import keep_unleaked
 from matchlake.llm.ngram_join import keep_one_of_each
 from matchlake.llm.packing import pack_documents
+from matchlake.scratch import few_rows_at_once
+
+BATCH_ROWS = 2000  # documents that a Python worker gets at once: executors keep what their largest batches took
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,7 +20,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject. Sets the session's batches, as the scores are made when the result is read."""
+    few_rows_at_once(spark, BATCH_ROWS)
     return toxicity.keep_clean(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 

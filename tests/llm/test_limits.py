@@ -1,5 +1,6 @@
 """Nothing is lost to a length, a column's name or a missing shared folder."""
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,15 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
         scratch.shared_dir(Session())
     assert scratch.shared_dir(spark)
     assert scratch.written(spark.range(3).select(F.col("id")), "test").count() == 3
+
+
+def test_the_pipeline_hands_python_few_documents_at_once(spark):
+    """From the first stage on; a session with smaller batches keeps them."""
+    before = spark.conf.get(scratch.ARROW_ROWS)
+    try:
+        for given, wanted in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("500", 500)):
+            spark.conf.set(scratch.ARROW_ROWS, given)
+            corpus_pipeline.drop_toxic(spark, spark.createDataFrame([(1, "some text")], "doc_id long, text string"), "/root/testdata/sf0.001")
+            assert int(spark.conf.get(scratch.ARROW_ROWS)) == wanted
+    finally:
+        spark.conf.set(scratch.ARROW_ROWS, before)
