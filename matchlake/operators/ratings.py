@@ -2,7 +2,7 @@
 
 Positions are read on a grid of half-second steps, one row a game and step with the players who live and are located
 there. Frames as in `combat` and `waves`; kill_scores (game_id, killer_slot, victim_slot, impact, death_impact), links
-as of `kill_links`, stats (game_id, slot, gadget_uses, gadget_possible), board (game_id, slot, assists).
+as of `kill_links`, with killer_slot where it is known, stats (game_id, slot, gadget_uses, gadget_possible), board (game_id, slot, assists).
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from matchlake.functions.geometry import metres
 from matchlake.operators import combat as C
+from matchlake.operators.aggregates import rounded
+from matchlake.operators.joins import within
 from matchlake.operators.match import team_of
 from matchlake.operators.series import sessions
 from matchlake.scratch import written
@@ -165,6 +167,15 @@ def assists_near(grid: DataFrame, deaths: DataFrame, games: DataFrame, limits: R
     return helpers.groupBy(*PLAYER).agg(F.count("*").alias("assists"))
 
 
+def _avengers(links: DataFrame, kills: DataFrame, limits: RatingLimits) -> DataFrame:
+    """game_id, slot: who made the kill of each revenge: the link's killer_slot where links have it, else the killer of the first kill beside it."""
+    if "killer_slot" in links.columns:
+        return links.select("game_id", F.col("killer_slot").alias("slot"))
+    own = kills.select("game_id", "victim_slot", F.col("t").alias("kt"), "killer_slot")
+    near = within(links.select("game_id", "t", "victim_slot"), own, ["game_id", "victim_slot"], "t", "kt", -limits.same_kill, limits.same_kill)
+    return near.groupBy("game_id", "t", "victim_slot").agg(F.min_by("killer_slot", "kt").alias("slot")).select(*PLAYER)
+
+
 def raw_components(games: DataFrame, lives: DataFrame, samples: DataFrame, kills: DataFrame, focused: DataFrame, zones: DataFrame, points: DataFrame, kill_scores: DataFrame, links: DataFrame, stats: DataFrame, board: DataFrame | None = None, limits: RatingLimits = RatingLimits()) -> DataFrame:
     """game_id, slot, assists, assist_source and the seventeen components of every slot that has a life.
 
@@ -187,8 +198,7 @@ def raw_components(games: DataFrame, lives: DataFrame, samples: DataFrame, kills
         assists = told.select(*PLAYER, F.when(whole, F.col("told")).otherwise(F.col("measured")).cast("long").alias("assists"), F.when(whole, "board").otherwise("measured").alias("assist_source"))
     killed = kill_scores.groupBy("game_id", F.col("killer_slot").alias("slot")).agg(F.avg("impact").alias("kill_quality"))
     lost = kill_scores.groupBy("game_id", F.col("victim_slot").alias("slot")).agg(F.avg(F.coalesce("death_impact", -F.col("impact"))).alias("death_quality"))
-    revenges = links.where("kind = 'revenge'").select("game_id", "t", "victim_slot").join(kills.select("game_id", "victim_slot", F.col("t").alias("kt"), "killer_slot"), ["game_id", "victim_slot"]).where(F.abs(F.col("kt") - F.col("t")) <= limits.same_kill)
-    revenges = revenges.groupBy("game_id", "t", "victim_slot").agg(F.min_by("killer_slot", "kt").alias("slot")).groupBy(*PLAYER).agg(F.count("*").alias("revenges"))
+    revenges = _avengers(links.where("kind = 'revenge'"), kills, limits).groupBy(*PLAYER).agg(F.count("*").alias("revenges"))
     rows = slots.join(games.select("game_id", (F.col("duration") / limits.minute).alias("minutes")), "game_id")
     parts = (made, deaths, assists, killed, lost, revenges, written(presence_values(grid, games, zones, points, lives, limits), "presence-values"), written(fight_values(grid, focused, games, limits), "fight-values"),
              written(aggro_values(grid, lives, links, limits), "aggro-values"), stats.select(*PLAYER, "gadget_uses", "gadget_possible"))
@@ -236,7 +246,7 @@ def rate_players(raws: DataFrame, scale: DataFrame, limits: RatingLimits = Ratin
     """
     # seventeen components: both dimensions are small by construction
     rows = _unpivoted(raws).join(F.broadcast(_weights(raws.sparkSession)), "component").join(F.broadcast(scale.select("key", "p05", "p50", "p95")), "key", "left")
-    rows = rows.withColumn("note", F.round(note_20(*map(F.col, ("raw", "p05", "p50", "p95", "down"))), 2))
+    rows = rows.withColumn("note", rounded(note_20(*map(F.col, ("raw", "p05", "p50", "p95", "down"))), 2))
     has = F.when(F.col("note").isNotNull(), F.col("weight"))
 
     def of(part: str) -> Column:
@@ -244,5 +254,5 @@ def rate_players(raws: DataFrame, scale: DataFrame, limits: RatingLimits = Ratin
         share = F.sum(F.when(own, has)) / F.sum(F.when(own, F.col("weight")))
         return F.when(share >= limits.coverage, F.round(F.sum(F.when(own, F.col("note") * has)) / F.sum(F.when(own, has)), 2)).alias(part)
 
-    rated = rows.groupBy(*PLAYER).agg(of("individual"), of("teamplay"), F.sort_array(F.collect_list(F.struct("component", F.round("raw", 4).alias("raw"), "note"))).alias("notes"))
+    rated = rows.groupBy(*PLAYER).agg(of("individual"), of("teamplay"), F.sort_array(F.collect_list(F.struct("component", rounded(F.col("raw"), 4).alias("raw"), "note"))).alias("notes"))
     return rated.select(*PLAYER, "individual", "teamplay", F.round((F.col("individual") + F.col("teamplay")) / 2, 2).alias("overall"), "notes")

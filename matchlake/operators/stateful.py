@@ -96,7 +96,7 @@ def foci(kills: pd.DataFrame, radius: float = 10.0, scale: tuple[float, float] =
             at = 0
         else:
             n = len(at_place)
-            near = first[:n][np.hypot((x - places[:n, 0]) * scale[0], (y - places[:n, 1]) * scale[1]) <= radius]
+            near = first[:n][np.sqrt(((x - places[:n, 0]) * scale[0]) ** 2 + ((y - places[:n, 1]) * scale[1]) ** 2) <= radius]
             at = int(near.min()) if len(near) else n_foci
             if (x, y) not in at_place:
                 if n == len(first):

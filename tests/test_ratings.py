@@ -1,11 +1,14 @@
 """Ratings: notes on a scale, coverage, and the components of hand-made matches."""
 
+import duckdb
 import pytest
 from match_frames import FAR_A, MID, POINT, ZONES, Matches, dying, leave, stay, whole
 from pyspark.sql import functions as F
 
+from matchlake.functions.geometry import metres
 from matchlake.operators import combat as C
 from matchlake.operators import ratings as G
+from matchlake.plans.combats import revenge_links
 
 NAMES = [c[0] for c in G.COMPONENTS]
 
@@ -91,3 +94,32 @@ def test_assists_of_the_board_count_where_all_are_told(found):
     _, rows = found
     assert {rows["helped kill", s]["assists"] for s in (1, 2, 3, 5, 6)} == {7} and rows["helped kill", 1]["assist_source"] == "board"
     assert rows["drawn", 1]["assist_source"] == "measured" and rows["drawn", 1]["assists"] == 0
+
+
+def test_each_revenge_is_its_killers(spark):
+    """Slot 1 ends twice within half a second, by 5 and then by 6, after it had killed 7 and 8; once it kills 5, which 5 itself cannot avenge."""
+    rows = [(1, 100.0, 1, 7), (1, 200.0, 1, 8), (1, 300.0, 5, 1), (1, 300.3, 6, 1), (1, 400.0, 1, 5), (1, 500.0, 5, 1), (1, 9000.0, 6, 1)]
+    kills = spark.createDataFrame(rows, "game_id long, t double, killer_slot int, victim_slot int")
+    links = revenge_links({"kills": kills})
+    found = sorted(tuple(r) for r in links.select("t", "victim_slot", "killer_slot", "other_slot", F.round("dt", 3)).collect())
+    assert found == [(300.0, 1, 5, 8, 100.0), (300.3, 1, 6, 8, 100.3), (500.0, 1, 5, 8, 300.0)]
+    made = G._avengers(links, kills, G.RatingLimits()).groupBy("slot").count().collect()
+    assert {r["slot"]: r["count"] for r in made} == {5: 2, 6: 1}
+    told = G._avengers(links.drop("killer_slot"), kills, G.RatingLimits()).collect()  # as links without a killer tell it
+    assert sorted(r["slot"] for r in told) == [5, 5, 5]
+
+
+def test_notes_and_distances_as_in_sql(spark):
+    """Notes between two hundredths, and distances of places of which two are equally far."""
+    scale = spark.range(1, 400).select(F.lit(0.0).alias("low"), F.lit(8.0).alias("mid"), F.lit(20.0).alias("high"), (F.col("id") / 50).alias("v"))
+    con = duckdb.connect()
+    con.register("f", scale.toPandas())
+    raws = scale.select(F.lit(1).cast("long").alias("game_id"), F.monotonically_increasing_id().alias("slot"), F.lit("measured").alias("assist_source"), *[(F.col("v") if c[0] == "kills_per_min" else F.lit(None).cast("double")).alias(c[0]) for c in G.COMPONENTS])
+    of = spark.createDataFrame([("kills_per_min", 0.0, 8.0, 20.0)], "key string, p05 double, p50 double, p95 double")
+    rated = G.rate_players(raws, of).select(F.explode("notes").alias("n")).where("n.component = 'kills_per_min'").select("n.note")
+    wanted = con.execute("SELECT round(10.0 * (v - low) / (mid - low), 2) AS note FROM f").fetchall()
+    assert sorted(r["note"] for r in rated.collect()) == sorted(n for n, in wanted)
+    con.execute("CREATE TABLE p AS SELECT a.i / 100.0::DOUBLE AS x, b.i / 100.0::DOUBLE AS y FROM range(100) a(i), range(100) b(i)")
+    wanted = con.execute("SELECT sqrt(pow((x - 0.37) * 31.0, 2) + pow((y - 0.61) * 16.5, 2)) AS d FROM p").fetchall()
+    places = spark.range(100).select((F.col("id") / 100.0).alias("x")).crossJoin(spark.range(100).select((F.col("id") / 100.0).alias("y")))
+    assert sorted(r["d"] for r in places.select(metres(F.col("x") - 0.37, F.col("y") - 0.61).alias("d")).collect()) == sorted(d for d, in wanted)
