@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from matchlake.functions.geometry import metres
 from matchlake.operators import stateful
@@ -20,6 +23,9 @@ from matchlake.operators.match import team_of
 from matchlake.operators.series import sessions, with_runs
 from matchlake.scratch import written
 
+BUCKET_ROWS = 50_000
+PLAYER = StructType([StructField("slot", IntegerType()), StructField("x", DoubleType()), StructField("y", DoubleType()), StructField("living", BooleanType())])
+
 
 @dataclass(frozen=True)
 class FightLimits:
@@ -74,10 +80,68 @@ def alive_only(asks: DataFrame, lives: DataFrame) -> DataFrame:
     return with_living(asks, lives).where("living").drop("living")
 
 
+def _in_buckets(samples: DataFrame, gap: float, width: float) -> DataFrame:
+    """Living rows by bucket of a game's time, and in each bucket the last row of every slot before it and the first after it that `gap` reaches."""
+    spots = samples.where("alive AND x IS NOT NULL AND y IS NOT NULL").select("game_id", F.floor(F.col("t") / width).alias("__bucket"), "slot", F.struct("t", "x", "y").alias("s"))
+    ends = spots.groupBy("game_id", "__bucket", "slot").agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    here, low, high = F.col("__bucket"), F.floor((F.col("first.t") - gap) / width), F.floor((F.col("last.t") + gap) / width)
+    before = ends.where(low < here).select("game_id", F.explode(F.sequence(low, here - 1)).alias("__bucket"), "slot", F.col("first").alias("s"))
+    after = ends.where(high > here).select("game_id", F.explode(F.sequence(here + 1, high)).alias("__bucket"), "slot", F.col("last").alias("s"))
+    return spots.unionByName(before).unionByName(after).select("game_id", "__bucket", F.lit(0).alias("__side"), F.col("slot").cast("int").alias("__slot"), F.col("s.t").cast("double").alias("__t"), F.col("s.x").cast("double").alias("__x"), F.col("s.y").cast("double").alias("__y"))
+
+
+def _players(rows: pa.Table, names: list[str], gap: float) -> pa.Table:
+    """The asks of one bucket with the eight slots; a row of side 0 is a place, one of side 1 a life, one of side 2 an ask."""
+    side, slot, t, x, y = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("__side", "__slot", "__t", "__x", "__y"))
+    asks = rows.filter(pa.array(side == 2))
+    at = asks.column("__t").to_numpy(zero_copy_only=False)
+    found: dict[str, list[np.ndarray]] = {"x": [], "y": [], "far": [], "living": []}
+    for n in range(1, 9):
+        own = np.nonzero((side == 0) & (slot == n))[0]
+        own = own[np.lexsort((y[own], x[own], t[own]))]
+        times = np.concatenate([[-np.inf], t[own], [np.inf]])
+        after = np.searchsorted(times[1:-1], at, side="left") + 1
+        best = np.where(at - times[after - 1] <= times[after] - at, after - 1, after)
+        place = np.clip(best - 1, 0, max(0, len(own) - 1))
+        for c, v in (("x", x), ("y", y)):
+            found[c].append(v[own][place] if len(own) else np.zeros(len(at)))
+        found["far"].append(~(np.abs(times[best] - at) <= gap))
+        life = np.nonzero((side == 1) & (slot == n))[0]
+        life = life[np.argsort(t[life], kind="stable")]
+        until = np.concatenate([[-np.inf], np.maximum.accumulate(x[life])])  # of a life, x is its end
+        found["living"].append(at <= until[np.searchsorted(t[life], at, side="right")] + 1e-6)
+    flat = {c: np.stack(v, axis=1).ravel() for c, v in found.items()}
+    player = pa.StructArray.from_arrays([pa.array(np.tile(np.arange(1, 9, dtype=np.int32), len(at))), pa.array(flat["x"], mask=flat["far"]), pa.array(flat["y"], mask=flat["far"]), pa.array(flat["living"])], ["slot", "x", "y", "living"])
+    players = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * 8), player)
+    mine = asks.column("__ask").combine_chunks()
+    return pa.Table.from_arrays([*(mine.chunk(0) if isinstance(mine, pa.ChunkedArray) else mine).flatten(), players], [*names, "players"])
+
+
+def around(asks: DataFrame, lives: DataFrame, samples: DataFrame, gap: float = 1.5) -> DataFrame:
+    """asks (game_id, t, ...) with players, the eight slots in order: slot, x and y of its nearest living row within `gap`, null beyond, and whether it lives.
+
+    An ask is one row for all slots. Games are cut into buckets of time with about BUCKET_ROWS living rows each, so what is
+    looked at together does not grow with the rows of a game.
+    """
+    size = samples.agg(F.count("*").alias("n"), F.count_distinct("game_id").alias("games"), F.min("t").alias("a"), F.max("t").alias("b")).first()
+    width = max(1.0, ((size["b"] or 0.0) - (size["a"] or 0.0) + 1.0) / max(1, -(-size["n"] // (BUCKET_ROWS * max(1, size["games"])))))
+    begin, end = F.col("t0") - 1e-6, F.greatest(F.col("t0"), F.col("t1")) + 1e-6
+    begun = lives.select("game_id", F.explode(F.sequence(F.floor(begin / width), F.floor(end / width))).alias("__bucket"), F.lit(1).alias("__side"), F.col("slot").cast("int").alias("__slot"), begin.cast("double").alias("__t"), F.col("t1").cast("double").alias("__x"))
+    mine = asks.select("game_id", F.floor(F.col("t") / width).alias("__bucket"), F.lit(2).alias("__side"), F.col("t").cast("double").alias("__t"), F.struct(*[F.col(c) for c in asks.columns]).alias("__ask"))
+    both = mine.unionByName(_in_buckets(samples, gap, width), allowMissingColumns=True).unionByName(begun, allowMissingColumns=True)
+    names = asks.columns
+
+    def of(rows: pa.Table) -> pa.Table:
+        return _players(rows, names, gap)
+
+    schema = StructType([*[StructField(f.name, f.dataType) for f in asks.schema.fields], StructField("players", ArrayType(PLAYER))])
+    return both.groupBy("game_id", "__bucket").applyInArrow(of, schema)
+
+
 def players_at(asks: DataFrame, lives: DataFrame, samples: DataFrame, gap: float = 1.5) -> DataFrame:
     """A row for each ask (game_id, t, ...) and living slot: slot, team, x, y; positions may be null."""
-    each = asks.withColumn("slot", slots())
-    return positions(alive_only(each, lives), samples, gap).withColumn("team", team_of(F.col("slot")))
+    each = around(asks, lives, samples, gap).select(*asks.columns, F.explode(F.filter("players", lambda p: p["living"])).alias("p"))
+    return each.select(*asks.columns, "p.slot", "p.x", "p.y").withColumn("team", team_of(F.col("slot")))
 
 
 def death_positions(kills: DataFrame, lives: DataFrame, samples: DataFrame, limits: FightLimits = FightLimits()) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from matchlake.functions.geometry import metres
 from matchlake.operators import combat as C
 from matchlake.operators.combat import FightLimits
-from matchlake.operators.joins import asof, points_in_intervals
+from matchlake.operators.joins import asof
 from matchlake.operators.match import team_of
 from matchlake.scratch import written
 
@@ -62,9 +62,8 @@ def _numbers(rows: DataFrame, lives: DataFrame, samples: DataFrame, limits: Scor
     n = round(limits.lookback / limits.step)
     moments = [("before", -limits.before), ("after", limits.after), *[(f"step{i}", -limits.lookback + i * limits.step) for i in range(n + 1)]]
     asks = rows.select(*KILL, "killer_slot", "victim_slot", "x", "y", F.explode(F.array(*[F.struct(F.lit(w).alias("what"), (F.col("t_death") + d).alias("t")) for w, d in moments])).alias("m"))
-    asks = asks.select("game_id", F.struct("nth", "killer_slot", "victim_slot", F.col("x").alias("cx"), F.col("y").alias("cy"), "m.what").alias("of"), "m.t").withColumn("slot", C.slots())
-    seen = C.positions(C.with_living(asks, lives), samples, fight_limits.position).select("game_id", "of.*", "slot", "x", "y", "living")
-    players = seen.groupBy(*KILL, "what", "killer_slot", "victim_slot", "cx", "cy").agg(F.collect_list(F.struct("slot", "x", "y", "living")).alias("players"))
+    asks = asks.select("game_id", "nth", "killer_slot", "victim_slot", F.col("x").alias("cx"), F.col("y").alias("cy"), "m.what", "m.t")
+    players = C.around(asks, lives, samples, fight_limits.position)
     victim = F.get(F.filter("players", lambda p: p["slot"] == F.col("victim_slot")), F.lit(0))
     vx, vy = F.coalesce(victim["x"], F.col("cx")), F.when(victim["x"].isNotNull(), victim["y"]).otherwise(F.col("cy"))
 
@@ -94,12 +93,12 @@ def _points(rows: DataFrame, line: DataFrame, captures: DataFrame, instances: Da
     near = rows.select(*KILL, "t", team_of(F.col("killer_slot")).alias("team"), "x", "y").join(instances.select("game_id", "inst", "rect", F.col("t0").alias("i0"), F.col("t1").alias("i1")).join(last, ["game_id", "inst"]), "game_id")
     near = near.where((F.col("t") >= F.col("i0") - 1) & (F.col("t") <= F.col("i1") + 1) & (C.rect_metres(F.col("x"), F.col("y"), F.col("rect")) <= limits.point_m))
     near = near.withColumn("until", F.least(F.col("t") + limits.window, F.col("read_until") - 0.01, F.col("i1") - 0.01)).select(*KILL, "t", "team", "inst", "until")
-    spans = near.select(*KILL, "team", "inst", F.col("t").alias("a"), (F.col("t") + limits.window).alias("b"))
-    takes = points_in_intervals(captures.select("game_id", "team", "inst", F.col("t").alias("cap_t")), spans, ["game_id", "team", "inst"], "cap_t", "a", "b", limits.window).select(*KILL)
-    held = line.select("game_id", "inst", F.col("holder").alias("team"), (F.col("t0") - 1e-6).alias("h0"), F.col("t1").alias("h1"))
-    # both moments meet the holdings of their time, not all of a game
-    moments = near.where("until > t").select(*KILL, "inst", "team", F.explode(F.array(F.struct(F.lit(False).alias("last"), F.col("t").alias("m")), F.struct(F.lit(True).alias("last"), F.col("until").alias("m")))).alias("s")).select(*KILL, "inst", "team", "s.*")
-    met = points_in_intervals(moments, held, ["game_id", "inst", "team"], "m", "h0", "h1", limits.window / 4).where("m < h1")
+    # the next capture after the kill, and what each moment's team held last: a moment meets one row, not all of its time
+    soon = captures.select("game_id", "team", "inst", (-F.col("t")).alias("t"), F.col("t").alias("cap_t"))
+    takes = asof(near.withColumns({"t": -F.col("t"), "end": F.col("t") + limits.window}), soon, ["game_id", "team", "inst"], "t", ["cap_t"], direction="backward").where("cap_t <= end").select(*KILL)
+    held = line.where("holder IS NOT NULL").select("game_id", "inst", F.col("holder").alias("team"), (F.col("t0") - 1e-6).alias("t"), F.col("t1").alias("h1"))
+    moments = near.where("until > t").select(*KILL, "inst", "team", F.explode(F.array(F.struct(F.lit(False).alias("last"), F.col("t")), F.struct(F.lit(True).alias("last"), F.col("until").alias("t")))).alias("s")).select(*KILL, "inst", "team", "s.*")
+    met = asof(moments, held, ["game_id", "inst", "team"], "t", ["h1"], direction="backward").where("t < h1")
     holds = met.groupBy(*KILL, "inst").agg(F.bool_or(~F.col("last")).alias("first"), F.bool_or("last").alias("then")).where("first AND then").select(*KILL)
     return takes.unionByName(holds).distinct().withColumn("point", F.lit(True))
 

@@ -1,5 +1,8 @@
 """Ratings: notes on a scale, coverage, and the components of hand-made matches."""
 
+import random
+import time
+
 import duckdb
 import pytest
 from match_frames import FAR_A, MID, POINT, ZONES, Matches, dying, leave, stay, whole
@@ -123,3 +126,33 @@ def test_notes_and_distances_as_in_sql(spark):
     wanted = con.execute("SELECT sqrt(pow((x - 0.37) * 31.0, 2) + pow((y - 0.61) * 16.5, 2)) AS d FROM p").fetchall()
     places = spark.range(100).select((F.col("id") / 100.0).alias("x")).crossJoin(spark.range(100).select((F.col("id") / 100.0).alias("y")))
     assert sorted(r["d"] for r in places.select(metres(F.col("x") - 0.37, F.col("y") - 0.61).alias("d")).collect()) == sorted(d for d, in wanted)
+
+
+def test_players_around_moments_in_many_buckets(spark, monkeypatch):
+    """Nearest living rows and lives of all slots, against brute force, with few rows in a bucket and gaps wider and narrower than it."""
+    rng = random.Random(5)
+    spots = [(g, rng.randint(1, 8), rng.randrange(4000) / 4, rng.randrange(100) / 100, rng.randrange(100) / 100, rng.random() < 0.8) for g in (1, 2) for _ in range(300)]
+    spots.append((1, 3, 5.0, None, None, True))
+    lives = [(g, s, float(a), float(a + rng.randrange(1, 300))) for g in (1, 2) for s in range(1, 9) for a in range(0, 1000, 250) if rng.random() < 0.8]
+    asks = [(g, rng.randrange(4000) / 4, i) for i, g in enumerate([1, 2, 3] * 40)]
+    monkeypatch.setattr(C, "BUCKET_ROWS", 16)
+    for gap in (2.0, 40.0, 400.0):
+        found = C.around(spark.createDataFrame(asks, "game_id long, t double, n int"), spark.createDataFrame(lives, "game_id long, slot int, t0 double, t1 double"),
+                         spark.createDataFrame(spots, "game_id long, slot int, t double, x double, y double, alive boolean"), gap).collect()
+        assert sorted(r["n"] for r in found) == list(range(len(asks)))
+        for r in found:
+            assert [p["slot"] for p in r["players"]] == list(range(1, 9))
+            for p in r["players"]:
+                own = [s for s in spots if s[0] == r["game_id"] and s[1] == p["slot"] and s[5] and s[3] is not None and abs(s[2] - r["t"]) <= gap]
+                best = min(((abs(s[2] - r["t"]), s[2]) for s in own), default=None)
+                assert (p["x"], p["y"]) in ([(s[3], s[4]) for s in own if (abs(s[2] - r["t"]), s[2]) == best] or [(None, None)])
+                assert p["living"] == any(v[0] == r["game_id"] and v[1] == p["slot"] and v[2] <= r["t"] <= v[3] for v in lives)
+
+
+def test_revenges_of_a_long_day_take_linear_time(spark):
+    """30,000 kills of one slot and as many ends of it; all pairs are 900 million."""
+    kills = spark.range(60_000).select(F.lit(1).cast("long").alias("game_id"), (F.col("id") / 1.0).alias("t"), F.when(F.col("id") % 2 == 0, 1).otherwise(5 + F.col("id") % 4).cast("int").alias("killer_slot"), F.when(F.col("id") % 2 == 0, 5 + F.col("id") % 3).otherwise(1).cast("int").alias("victim_slot"))
+    began = time.time()
+    links = revenge_links({"kills": kills})
+    assert links.count() > 29_000
+    assert time.time() - began < 20
