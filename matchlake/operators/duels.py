@@ -18,6 +18,7 @@ from matchlake.operators import combat as C
 from matchlake.operators.combat import FightLimits
 from matchlake.operators.joins import overlaps, points_in_intervals, within
 from matchlake.operators.match import team_of
+from matchlake.operators.series import trailing_max
 from matchlake.scratch import written
 
 TRACK = ["game_id", "slot"]
@@ -57,12 +58,11 @@ def damage_stretches(hp: DataFrame, lives: DataFrame, limits: DuelLimits = DuelL
     starts at the latest highest value of two windows before its first hit. after is 0 where a death follows. regen_t is
     the end of the flat values before the first rise, null where it is not seen.
     """
-    rows = hp.select(*TRACK, "t", "hp")
+    rows = hp.select(*TRACK, "t", "hp", F.round(F.col("t") * 1000).cast("long").alias("ms"), F.when(F.col("hp").isNotNull(), F.struct("hp", "t")).alias("point"))
     by = Window.partitionBy(*TRACK).orderBy("t")
-    in_millis = Window.partitionBy(*TRACK).orderBy(F.round(F.col("t") * 1000).cast("long"))
     width = round(limits.window * 1000)
-    rows = rows.withColumn("high", F.max("hp").over(in_millis.rangeBetween(-width, 0)))
-    rows = rows.withColumn("top", F.max(F.when(F.col("hp").isNotNull(), F.struct("hp", "t"))).over(in_millis.rangeBetween(-2 * width, 0)))
+    rows = trailing_max(rows, TRACK, "ms", width, "hp", "high")
+    rows = trailing_max(rows, TRACK, "ms", 2 * width, "point", "top").drop("ms", "point")
     rows = rows.withColumn("hit_t", F.when(F.col("high") - F.col("hp") >= limits.drop - 1e-12, F.col("t")))
     last = F.last("hit_t", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("first", F.col("hit_t").isNotNull() & F.coalesce(F.col("t") - last > limits.hit_gap + 1e-9, F.lit(True)))

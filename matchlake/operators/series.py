@@ -68,3 +68,18 @@ def linear_fill(df: DataFrame, keys: list[str], order: list[str], value: str, t:
     span = F.col("__b.t") - F.col("__a.t")
     line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * (F.col(t) - F.col("__a.t")) / span
     return both.withColumn(name, F.when(F.col(value).isNotNull(), F.col(value)).when((span > 0) & (span <= most), line)).drop("__a", "__b")
+
+
+def trailing_max(df: DataFrame, keys: list[str], at: str, width: int, value: str, name: str) -> DataFrame:
+    """df with the most of `value` over the rows of equal keys from `width` before `at`, a whole number, to it, both included.
+
+    In blocks as wide as the window a row has all of its own block up to it, and of the block before what is at most
+    `width` away, which is read from its end. So each row is read twice, where a sliding frame reads a window for each.
+    """
+    block = F.floor(F.col(at) / width)
+    own = df.withColumns({"__block": block, "__at": F.col(at), "__here": F.lit(True), "__now": F.col(value), "__then": F.lit(None).cast(df.schema[value].dataType)})
+    earlier = df.select(*keys, (block + 1).alias("__block"), (F.col(at) + width).alias("__at"), F.lit(False).alias("__here"), F.col(value).alias("__then"))
+    part = Window.partitionBy(*keys, "__block")
+    up_to, from_on = (part.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("__at"), F.col("__at").desc()))
+    both = own.unionByName(earlier, allowMissingColumns=True).withColumn("__after", F.max("__then").over(from_on)).where("__here")
+    return both.withColumn(name, F.greatest(F.max("__now").over(up_to), "__after")).drop("__block", "__at", "__here", "__now", "__then", "__after")

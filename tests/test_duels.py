@@ -1,8 +1,13 @@
 """Duels on hand-made matches: by kills and by hit points, interruptions, recoveries and ends of games."""
 
+import random
+import time
+
 import pytest
 from match_frames import DURATION, FAR_A, FAR_B, MID, Matches, dying, stay, whole
+from pyspark.sql import functions as F
 
+from matchlake.operators import series as S
 from matchlake.operators.duels import DuelLimits, damage_stretches, find_duels
 
 ALONE = {1: whole(stay(FAR_A)), 6: whole(stay(FAR_A))}
@@ -124,3 +129,23 @@ def test_stretches(found):
     [s] = [r for r in found["stretches"]["recovery read"] if r["slot"] == 1]
     assert s["loss"] == 0.5 and abs(s["t0"] - 30.0) < 0.1 and abs(s["t1"] - 31.3) < 0.35 and s["death_t"] is None and abs(s["regen_t"] - 36.0) < 0.2
     assert {(r["slot"], r["death_t"], r["after"]) for r in found["stretches"]["unseen death"]} == {(1, None, 0.5), (6, 33.0, 0.0)}
+
+
+def test_trailing_max_by_brute_force(spark):
+    """Ties, null values, one key without rows in the block before, and a window wider and narrower than the steps."""
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(-40, 400), None if rng.random() < 0.1 else rng.randrange(50)) for k in "ab" for _ in range(150)]
+    for width in (1, 7, 60, 1000):
+        found = S.trailing_max(spark.createDataFrame(rows, "k string, at long, v int"), ["k"], "at", width, "v", "most").collect()
+        assert sorted((r["k"], r["at"], -1 if r["v"] is None else r["v"]) for r in found) == sorted((k, at, -1 if v is None else v) for k, at, v in rows)
+        for r in found:
+            assert r["most"] == max((v for k, at, v in rows if k == r["k"] and r["at"] - width <= at <= r["at"] and v is not None), default=None)
+
+
+def test_stretches_of_dense_rows_take_linear_time(spark):
+    """100,000 rows of a slot, 0.1 s apart; windows of 30,000 and 60,000 rows, read again for each row, are 9e9 steps."""
+    hp = spark.range(100_000).select(F.lit(1).cast("long").alias("game_id"), F.lit(1).alias("slot"), (F.col("id") / 10).alias("t"), ((F.col("id") * 7919) % 1000 / 1000).alias("hp"))
+    lives = spark.createDataFrame([], "game_id long, slot int, t1 double, ended string")
+    began = time.time()
+    assert damage_stretches(hp, lives, DuelLimits(window=3000.0, drop=0.2, hit_gap=3600.0)).count() == 1
+    assert time.time() - began < 30
